@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.tables import load
+from . import mixing
 from .bpe_codec import bpe_digest
+from .langid import language_digest
+from .quality_forest import quality_digest
 from .token_output import token_output
 
 
@@ -21,12 +24,30 @@ def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digest(load(spark, sf_dir, "documents"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by segmentation-marginalised unigrams."""
+    return language_digest(load(spark, sf_dir, "documents"))
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule statistics of every document and an isolation forest's verdict."""
+    return quality_digest(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix of target weights takes of every document."""
+    return mixing.mixing_digest(load(spark, sf_dir, "documents")).withColumn("target", F.round("target", 3))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_output": op1_token_output,
         "op2_bpe_codec": op2_bpe_codec,
+        "op3_language_id": op3_language_id,
+        "op6_quality_rules": op6_quality_rules,
+        "op10_mixing": op10_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_mixing": mixing.ORACLE}
