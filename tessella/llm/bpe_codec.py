@@ -219,7 +219,7 @@ def _digest(path: str):
 def _codes(path: str):
     def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(path)
-        for batch in slices(batches):
+        for batch in slices(batches, 64):
             ids = [coder.encode(text) for text in strings(batch, "text")]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").cast(pa.int64()), pa.array([[*map(int, x)] for x in ids], pa.list_(pa.int32())), pa.array([coder.decode(x) for x in ids], pa.string())],

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -200,15 +201,20 @@ def fit(docs: DataFrame, vocabulary: str | None = None) -> Model:
     return fit_counts(counts, Counter(dict(map(tuple, sizes))), pieces_of(vocabulary or tokenizer_path("piece_bpe_32k.model")))
 
 
-_MODELS: dict[int, Model] = {}
+_MODELS: dict[str, Model] = {}
 
 
-def _predict(key: int, model):
+def _worker_model(key: str, model) -> Model:
+    """One model, with its memory, for all tasks of a worker."""
+    if key not in _MODELS:
+        _MODELS.clear()
+        _MODELS[key] = model.value
+    return _MODELS[key]
+
+
+def _predict(key: str, model):
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _MODELS:  # one model, with its memory, for all tasks of a worker
-            _MODELS.clear()
-            _MODELS[key] = model.value
-        mine = _MODELS[key]
+        mine = _worker_model(key, model)
         for batch in slices(batches):
             found = [mine.text(x) for x in batch.column("text").to_pylist()]
             lang, score, letters = zip(*found, strict=True) if found else ((), (), ())
@@ -220,7 +226,7 @@ def _predict(key: int, model):
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score and n_letters of every row; a map over whole texts that reads nothing but the text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # pieces x languages: bounded by the vocabulary
-    return docs.select("doc_id", "text").mapInArrow(_predict(shared.id if hasattr(shared, "id") else id(shared), shared), RESULT)
+    return docs.select("doc_id", "text").mapInArrow(_predict(uuid.uuid4().hex, shared), RESULT)
 
 
 def language_digest(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
@@ -231,3 +237,23 @@ def language_digest(docs: DataFrame, vocabulary: str | None = None) -> DataFrame
     without a labelled row every text is ``und``; other columns are ignored.
     """
     return predict(docs, fit(docs, vocabulary)).withColumn("held_out", held_out()).select("doc_id", "held_out", "lang_pred", "score", "n_letters")
+
+
+#: Posterior under which a text counts as of no known language.
+SURE = 0.5
+
+
+def _filter(key: str, model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine = _worker_model(key, model)
+        for batch in slices(batches):
+            found = [mine.text(x) for x in batch.column("text").to_pylist()]
+            yield batch.filter(pa.array([lang != "und" and score >= SURE for lang, score, _ in found], pa.bool_()))
+
+    return run
+
+
+def keep_known(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
+    """``docs`` without texts that have no letter or no language of a posterior of ``SURE``; columns and order are kept."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, vocabulary))
+    return docs.mapInArrow(_filter(uuid.uuid4().hex, shared), docs.schema)

@@ -198,6 +198,13 @@ def calibrate(scored: DataFrame, labels: DataFrame) -> float:
     return float(best[len(best) // 2] / BINS)
 
 
+def _learn(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, Forest, float]:
+    base = cut(statistics(docs), "quality-base")
+    forest = fit(base, labels)
+    scored = cut(base.mapInArrow(_scores(forest), BASE + ", anomaly double"), "quality-scored")
+    return scored, forest, calibrate(scored, labels)
+
+
 def quality_verdicts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, the base statistics, anomaly, base_failed and kept for every row of ``docs`` (doc_id, text).
 
@@ -205,10 +212,7 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     doc_id are judged each by its own text; an empty table gives no rows; without labels the forest is grown on all rows
     and only the base rule rejects. Other columns are ignored.
     """
-    base = cut(statistics(docs), "quality-base")
-    forest = fit(base, labels)
-    scored = cut(base.mapInArrow(_scores(forest), BASE + ", anomaly double"), "quality-scored")
-    limit = calibrate(scored, labels)
+    scored, _, limit = _learn(docs, labels)
     return scored.withColumn("base_failed", base_failed()).withColumn("kept", ~base_failed() & (F.col("anomaly") < F.lit(limit)))
 
 
@@ -217,7 +221,20 @@ def quality_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return quality_verdicts(docs, labels).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "anomaly")
 
 
+def _filter(forest: Forest, limit: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            base = np.array([base_statistics(x) for x in batch.column("text").to_pylist()], np.int64).reshape(-1, len(BASE_COLUMNS) - 1)
+            failed = (base[:, 0] < 10) | (100 * base[:, 4] > 20 * base[:, 0])
+            yield batch.filter(pa.array(~failed & (forest.score(features(base)) < limit)))
+
+    return run
+
+
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the rows that the rules reject. Rows that share a doc_id stay if each of them is kept."""
-    verdicts = quality_verdicts(docs, labels).groupBy(F.col("doc_id").alias("judged_id")).agg(F.min("kept").alias("stays")).where("stays")
-    return docs.join(verdicts, docs["doc_id"].eqNullSafe(verdicts["judged_id"]), "left_semi")
+    """``docs`` without the rows that the rules reject, each judged by its own text; columns and their order are kept.
+
+    The model is learned in a first pass; the second is a map, so no text is shuffled.
+    """
+    _, forest, limit = _learn(docs, labels)
+    return docs.mapInArrow(_filter(forest, limit), docs.schema)

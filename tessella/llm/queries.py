@@ -11,6 +11,7 @@ from . import mixing
 from .bpe_codec import bpe_digest
 from .langid import language_digest
 from .quality_forest import quality_digest
+from .simhash import simhash_digest
 from .token_output import token_output
 
 
@@ -29,6 +30,11 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_digest(load(spark, sf_dir, "documents"))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash fingerprints of every document and their components by pigeonring filtering."""
+    return simhash_digest(load(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule statistics of every document and an isolation forest's verdict."""
     return quality_digest(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
@@ -44,6 +50,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_token_output": op1_token_output,
         "op2_bpe_codec": op2_bpe_codec,
         "op3_language_id": op3_language_id,
+        "op4_simhash": op4_simhash,
         "op6_quality_rules": op6_quality_rules,
         "op10_mixing": op10_mixing,
     }
