@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.tables import load
-from . import mixing
+from . import mixing, voronoi_knn
 from .bpe_codec import bpe_digest
+from .hilbert_shards import shard_documents
 from .langid import language_digest
 from .quality_forest import quality_digest
 from .simhash import simhash_digest
@@ -35,11 +36,21 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_digest(load(spark, sf_dir, "documents"))
 
 
+def op5_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 24 runs of the Hilbert curve over size, script and word density."""
+    return shard_documents(load(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule statistics of every document and an isolation forest's verdict."""
     return quality_digest(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
+def op8_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 highest inner products of every 50th vector with all others."""
+    return voronoi_knn.top_k(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix of target weights takes of every document."""
     return mixing.mixing_digest(load(spark, sf_dir, "documents")).withColumn("target", F.round("target", 3))
@@ -51,10 +62,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_bpe_codec": op2_bpe_codec,
         "op3_language_id": op3_language_id,
         "op4_simhash": op4_simhash,
+        "op5_hilbert_shards": op5_hilbert_shards,
         "op6_quality_rules": op6_quality_rules,
+        "op8_voronoi_knn": op8_voronoi_knn,
         "op10_mixing": op10_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_mixing": mixing.ORACLE}
+    return {"op8_voronoi_knn": voronoi_knn.ORACLE, "op10_mixing": mixing.ORACLE}
