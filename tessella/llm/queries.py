@@ -11,6 +11,7 @@ from . import mixing, voronoi_knn
 from .bpe_codec import bpe_digest
 from .hilbert_shards import shard_documents
 from .langid import language_digest
+from .lbl_lm import lm_digest
 from .quality_forest import quality_digest
 from .simhash import simhash_digest
 from .token_output import token_output
@@ -51,6 +52,11 @@ def op8_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return voronoi_knn.top_k(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op9_lbl_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probability of every document under the log-bilinear model and under smoothed counts."""
+    return lm_digest(load(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix of target weights takes of every document."""
     return mixing.mixing_digest(load(spark, sf_dir, "documents")).withColumn("target", F.round("target", 3))
@@ -65,6 +71,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_hilbert_shards": op5_hilbert_shards,
         "op6_quality_rules": op6_quality_rules,
         "op8_voronoi_knn": op8_voronoi_knn,
+        "op9_lbl_scores": op9_lbl_scores,
         "op10_mixing": op10_mixing,
     }
 
