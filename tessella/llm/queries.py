@@ -10,6 +10,7 @@ from ..sources.tables import load
 from . import mixing, voronoi_knn
 from .bpe_codec import bpe_digest
 from .hilbert_shards import shard_documents
+from .html_tree import main_text
 from .langid import language_digest
 from .lbl_lm import lm_digest
 from .quality_forest import quality_digest
@@ -47,6 +48,11 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_digest(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page by message passing on its tree."""
+    return main_text(load(spark, sf_dir, "pages"))
+
+
 def op8_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 highest inner products of every 50th vector with all others."""
     return voronoi_knn.top_k(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
@@ -70,6 +76,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_simhash": op4_simhash,
         "op5_hilbert_shards": op5_hilbert_shards,
         "op6_quality_rules": op6_quality_rules,
+        "op7_html_text": op7_html_text,
         "op8_voronoi_knn": op8_voronoi_knn,
         "op9_lbl_scores": op9_lbl_scores,
         "op10_mixing": op10_mixing,
