@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from .plans import curation, dedup, filters, graphs, joins, rollups, search, splits, storage, streams, texts, windows  # noqa: F401  they register their plans
+from .plans.base import ORACLES, PLANS
 
-from pyspark.sql import DataFrame, SparkSession
 
-Query = Callable[[SparkSession, str], DataFrame]
-
-
-def queries() -> dict[str, Query]:
-    return {}
+def queries():
+    return dict(PLANS)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
