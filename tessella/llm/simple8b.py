@@ -40,11 +40,11 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         # two windows that overlap or touch cover the longer one
         widest[c] = np.maximum(widest[half][: n + 60 - c], widest[half][c - half :][: n + 60 - c])
         np.copyto(best, np.int8(s), where=widest[c][:n] <= BITS[s])
-    after = (np.arange(n) + COUNTS[best]).tolist()
+    taken = COUNTS.astype(np.uint8)[best].tobytes()
     starts, at = [], 0
     while at < n:
         starts.append(at)
-        at = after[at]
+        at += taken[at]
     starts = np.array(starts)
     chosen = best[starts]
     words = chosen.astype(np.uint64) << np.uint64(60)
@@ -53,9 +53,10 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if s == 0:
             words[mine] |= np.arange(mine.sum(), dtype=np.uint64)
             continue
-        slots = np.arange(COUNTS[s])
-        parts = ids[starts[mine][:, None] + slots] << (slots * BITS[s]).astype(np.uint64)
-        words[mine] |= np.bitwise_or.reduce(parts, axis=1)
+        at, word = starts[mine], words[mine]
+        for slot in range(COUNTS[s]):
+            word |= ids[at + slot] << np.uint64(slot * BITS[s])
+        words[mine] = word
     return words, ids[starts[chosen == 0]]
 
 

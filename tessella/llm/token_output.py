@@ -24,7 +24,7 @@ from .simple8b import pack, unpack
 
 BLOCK_IDS = 32_768
 #: Texts cut at spaces that one worker remembers with their ids. Beyond it the memory starts afresh.
-MEMORY = 500_000
+MEMORY = 1_000_000
 
 BLOCKS = T.StructType(
     [
@@ -180,13 +180,14 @@ def write_token_ids(docs: DataFrame, out: str, tokenizer: str, end_id: int = 0,
     """Encode ``docs`` (doc_id, text) with the tokenizer file and write blocks to ``out`` in ascending doc_id order.
 
     One shuffle: whole texts go to ranges of doc_id and are sorted there; nothing is encoded twice. A null text is empty
-    and still ends with ``end_id``; null doc_ids come first; rows that share a doc_id are ordered by their text; an empty
+    and still ends with ``end_id``; null doc_ids come first; rows that share a doc_id are ordered by their text's hash; an empty
     table writes no blocks; other columns are ignored.
     """
     spark = docs.sparkSession
     rows = docs.select("doc_id", "text")
-    ordered = rows.repartitionByRange(partitions or shuffle_width(spark), "doc_id", "text").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(_write_blocks(tokenizer, end_id), BLOCKS).write.parquet(out)
+    tie = F.xxhash64("text")  # the sampled range keys stay small
+    ordered = rows.repartitionByRange(partitions or shuffle_width(spark), "doc_id", tie).sortWithinPartitions("doc_id", tie)
+    ordered.select("doc_id", "text").mapInArrow(_write_blocks(tokenizer, end_id), BLOCKS).write.parquet(out)
     return out
 
 
