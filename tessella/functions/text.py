@@ -1,0 +1,68 @@
+"""Text rules as column expressions. Word and letter classes are ASCII unless a name says otherwise."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, functions as F
+
+#: English stop words that quality rules look for.
+STOPWORDS = ["the", "be", "to", "of", "and", "that", "have", "with"]
+#: Personal data and the mark that takes its place, in the order of replacement.
+PII = [
+    (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "<|email|>"),
+    (r"\bsk-[A-Za-z0-9_-]{16,}", "<|key|>"),
+    (r"\bAKIA[0-9A-Z]{16}\b", "<|key|>"),
+    (r"\b[0-9a-fA-F]{32,}\b", "<|key|>"),
+    (r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b", "<|ip|>"),
+    (r"\+?[0-9]{1,3}[ -]?\(?[0-9]{3}\)?[ -][0-9]{3}-[0-9]{4}", "<|phone|>"),
+]
+
+
+def tokens(text: Column) -> Column:
+    return F.filter(F.split(text, r"[ \t\n\r\f\x0B]+"), lambda w: w != "")
+
+
+def normalized(text: Column) -> Column:
+    """Lower case, runs of white space as one space, trimmed."""
+    return F.trim(F.regexp_replace(F.lower(text), r"[ \t\n\r\f\x0B]+", " "))
+
+
+def scrubbed(text: Column) -> Column:
+    for pattern, mark in PII:
+        text = F.regexp_replace(text, pattern, mark.replace("$", "\\$"))
+    return text
+
+
+def share(count: Column, total: Column) -> Column:
+    return F.coalesce(F.try_divide(count, total), F.lit(0.0))
+
+
+def gopher_reason(text: Column) -> Column:
+    """The first quality rule that a text fails, or null."""
+    w = tokens(text)
+    n = F.size(w)
+    lines = F.split(text, "\n")
+    starts = lambda p: share(F.size(F.filter(lines, lambda x: F.trim(x).rlike(p))), F.size(lines))
+    mean = share(F.aggregate(w, F.lit(0), lambda s, x: s + F.length(x)), n)
+    alpha = share(F.size(F.filter(w, lambda x: x.rlike("[A-Za-z]"))), n)
+    stops = F.size(F.array_intersect(F.transform(w, lambda x: F.lower(x)), F.array(*map(F.lit, STOPWORDS))))
+    symbols = share(F.regexp_count(text, F.lit(r"#|\.\.\.")), n)
+    return (
+        F.when(n < 50, "too_short").when(n > 100_000, "too_long").when((mean < 3) | (mean > 10), "mean_word_length").when(symbols >= 0.1, "symbols")
+        .when(starts(r"^[-*]") >= 0.9, "bullets").when(starts(r"\.\.\.$") >= 0.3, "ellipsis").when(alpha < 0.8, "alpha").when(stops < 2, "stopwords")
+    )
+
+
+def shingles(text: Column, n: int) -> Column:
+    """Distinct runs of ``n`` words in lower case; a shorter text is one shingle, an empty one has the empty shingle."""
+    w = tokens(F.lower(text))
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, n), " "))
+    return F.array_distinct(runs)
+
+
+def entropy(text: Column) -> Column:
+    """Shannon entropy in bits a character."""
+    chars = F.split(text, "")
+    chars = F.filter(chars, lambda c: c != "")
+    total = F.size(chars).cast("double")
+    each = F.transform(F.array_distinct(chars), lambda c: F.size(F.filter(chars, lambda x: x == c)) / total)
+    return F.aggregate(each, F.lit(0.0), lambda s, p: s - p * F.log2(p))
