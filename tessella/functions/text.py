@@ -17,6 +17,11 @@ PII = [
 ]
 
 
+def bound(x: Column, f) -> Column:
+    """f(x) with x evaluated once: inside a lambda a plain expression would be evaluated again for every element."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
 def tokens(text: Column) -> Column:
     return F.filter(F.split(text, r"[ \t\n\r\f\x0B]+"), lambda w: w != "")
 
@@ -54,15 +59,16 @@ def gopher_reason(text: Column) -> Column:
 
 def shingles(text: Column, n: int) -> Column:
     """Distinct runs of ``n`` words in lower case; a shorter text is one shingle, an empty one has the empty shingle."""
-    w = tokens(F.lower(text))
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, n), " "))
-    return F.array_distinct(runs)
+    def runs(w: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, n), " "))
+
+    return F.array_distinct(bound(tokens(F.lower(text)), runs))
 
 
 def entropy(text: Column) -> Column:
     """Shannon entropy in bits a character."""
-    chars = F.split(text, "")
-    chars = F.filter(chars, lambda c: c != "")
-    total = F.size(chars).cast("double")
-    each = F.transform(F.array_distinct(chars), lambda c: F.size(F.filter(chars, lambda x: x == c)) / total)
-    return F.aggregate(each, F.lit(0.0), lambda s, p: s - p * F.log2(p))
+    def bits(chars: Column) -> Column:
+        each = F.transform(F.array_distinct(chars), lambda c: F.size(F.filter(chars, lambda x: x == c)) / F.size(chars).cast("double"))
+        return F.aggregate(each, F.lit(0.0), lambda s, p: s - p * F.log2(p))
+
+    return bound(F.filter(F.split(text, ""), lambda c: c != ""), bits)

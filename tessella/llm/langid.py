@@ -14,6 +14,7 @@ import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -47,17 +48,14 @@ def pieces_of(path: str) -> list[str]:
     return [model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
 
 
-def words_of(text: str | None) -> Iterator[str]:
-    """Runs of letters in lower case, each with a mark at its start; long runs in stretches."""
-    for run in _LETTERS.findall((text or "").lower()):
-        if not run.isalpha():  # numerals that aren't digits
-            run = "".join(filter(str.isalpha, run))
-            if not run:
-                continue
-        if len(run) <= RUN:
-            yield "▁" + run
-        else:
-            yield from ("▁" + run[at : at + RUN] for at in range(0, len(run), RUN))
+def words_of(text: str | None) -> list[str]:
+    """Runs of letters in lower case; long runs in stretches."""
+    runs = _LETTERS.findall((text or "").lower())
+    if not "".join(runs).isalpha():  # numerals that aren't digits, or no run at all
+        runs = [x for x in ("".join(filter(str.isalpha, run)) for run in runs) if x]
+    if runs and max(map(len, runs)) > RUN:
+        runs = [run[at : at + RUN] for run in runs for at in range(0, len(run), RUN)]
+    return runs
 
 
 @dataclass
@@ -72,7 +70,7 @@ class Model:
     def __post_init__(self):
         self.memory: dict[str, int] = {}  # rows of the table of scored words
         self.table = np.zeros((0, len(self.langs)))
-        self.rows = self.probs.tolist()
+        self.automaton = None
 
     def __reduce__(self):
         return Model, (self.langs, self.pieces, self.probs, self.prior)
@@ -90,46 +88,68 @@ class Model:
                 out.append((start, start + 1, unknown))
         return out
 
-    def word(self, word: str) -> list[float]:
-        """Log-probability of the word for each language, summed over its segmentations."""
-        zero = [0.0] * len(self.langs)
-        forward = [zero] * (len(word) + 1)
-        forward[0] = [1.0] * len(self.langs)
-        rows, shift, at = self.rows, 0.0, 0
-        for start, end, i in self.spans(word):
-            if start != at:
-                at = start
-                if max(forward[start]) < 1e-100:  # keep the sums inside the range of doubles
-                    for k in range(start, min(len(word), start + PIECE) + 1):
-                        forward[k] = [x * 1e100 for x in forward[k]]
-                    shift -= 100 * math.log(10)
-            forward[end] = [f + g * p for f, g, p in zip(forward[end], forward[start], rows[i], strict=True)]
-        return [math.log(max(x, 1e-300)) + shift for x in forward[-1]]
-
-    def text(self, text: str | None) -> tuple[str, float, int]:
-        """(language, its posterior, letters) of a whole text; ``und`` and 0 without a letter."""
-        words = list(words_of(text))
-        if not words or not self.langs:
-            return "und", 0.0, 0
-        new = {w for w in words if w not in self.memory}
+    def words(self, words: list[str]) -> np.ndarray:
+        """Log-probability of each word for each language, summed over its segmentations: all words at once, a step of the
+        forward pass for each distance from a word's start. Probabilities carry a factor of ten a character, so that the
+        sums of the longest word stay inside the range of doubles."""
+        if self.automaton is None:
+            import ahocorasick
+
+            self.automaton = ahocorasick.Automaton()
+            for piece, i in self.pieces.items():
+                self.automaton.add_word(piece, i << 4 | len(piece))
+            self.automaton.make_automaton()
+            self.scaled = self.probs * 10.0 ** np.array([*map(len, self.pieces), 1])[:, None]
+        text = "".join(f"▁{w}\n" for w in words)
+        lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        starts = np.cumsum(lengths + 1) - lengths - 1
+        offset = np.arange(len(text)) - np.repeat(starts, lengths + 1)
+        found = np.fromiter(chain.from_iterable(self.automaton.iter(text)), np.int64).reshape(-1, 2)
+        end, width, piece = found[:, 0] + 1, found[:, 1] & 15, found[:, 1] >> 4
+        alone = np.ones(len(text), bool)
+        alone[starts + lengths] = False
+        alone[end[width == 1] - 1] = False
+        unknown = np.flatnonzero(alone)
+        start = np.concatenate([end - width, unknown])
+        end = np.concatenate([end, unknown + 1])
+        piece = np.concatenate([piece, np.full(len(unknown), len(self.pieces))])
+        order = np.argsort(offset[start], kind="stable")
+        start, end, piece = start[order], end[order], piece[order]
+        forward = np.zeros((len(text) + 1, len(self.langs)))
+        forward[starts] = 1.0
+        edges = np.searchsorted(offset[start], np.arange(int(lengths.max()) + 1)).tolist()
+        for a, b in zip(edges, [*edges[1:], len(start)], strict=True):
+            forward[end[a:b]] += forward[start[a:b]] * self.scaled[piece[a:b]]
+        return np.log(np.maximum(forward[starts + lengths], 1e-300)) - lengths[:, None] * math.log(10)
+
+    def texts(self, texts: list[str | None]) -> list[tuple[str, float, int]]:
+        """(language, its posterior, letters) of each whole text; ``und`` and 0 without a letter."""
+        words = [words_of(x) for x in texts]
+        if not self.langs:
+            return [("und", 0.0, sum(map(len, x))) for x in words]
+        new = {w for x in words for w in x if w not in self.memory}
         if len(self.memory) + len(new) > MEMORY:
             self.memory.clear()
-            new = {*words}
-        if len(self.table) < len(self.memory) + len(new):
-            self.table = np.concatenate([self.table, np.zeros((len(self.table) + len(new), len(self.langs)))])
-        for w in new:
-            self.table[len(self.memory)] = self.word(w)
-            self.memory[w] = len(self.memory)
+            new = {w for x in words for w in x}
+        if new:
+            size = len(self.memory) + len(new)
+            if len(self.table) < size:
+                self.table = np.concatenate([self.table, np.zeros((size, len(self.langs)))])
+            self.table[len(self.memory) : size] = self.words(list(new))
+            self.memory.update(zip(new, range(len(self.memory), size), strict=True))
+        return [self._best(x) if x else ("und", 0.0, 0) for x in words]
+
+    def _best(self, words: list[str]) -> tuple[str, float, int]:
         total = self.table[np.fromiter(map(self.memory.__getitem__, words), np.int64, len(words))].sum(0)
-        n = len(words)
-        weighed = self.prior + total * min(1.0, math.sqrt(FULL / n))
+        weighed = self.prior + total * min(1.0, math.sqrt(FULL / len(words)))
         weighed = np.exp(weighed - weighed.max())
         best = int(np.argmax(weighed))
-        return self.langs[best], float(weighed[best] / weighed.sum()), sum(map(len, words)) - n
+        return self.langs[best], float(weighed[best] / weighed.sum()), sum(map(len, words))
 
 
 def _expect(model: Model, word: str, weight: float, lang: int, counts: np.ndarray) -> None:
     """Add the expected pieces of a word to ``counts`` (forward and backward over its segmentations)."""
+    word = "▁" + word
     spans, n, probs = model.spans(word), len(word), model.probs[:, lang]
     forward, backward = [0.0] * (n + 1), [0.0] * (n + 1)
     forward[0] = backward[n] = 1.0
@@ -216,7 +236,7 @@ def _predict(key: str, model):
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine = _worker_model(key, model)
         for batch in slices(batches):
-            found = [mine.text(x) for x in batch.column("text").to_pylist()]
+            found = mine.texts(batch.column("text").to_pylist())
             lang, score, letters = zip(*found, strict=True) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(letters, pa.int64())], names=["doc_id", "lang_pred", "score", "n_letters"])
 
@@ -247,7 +267,7 @@ def _filter(key: str, model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine = _worker_model(key, model)
         for batch in slices(batches):
-            found = [mine.text(x) for x in batch.column("text").to_pylist()]
+            found = mine.texts(batch.column("text").to_pylist())
             yield batch.filter(pa.array([lang != "und" and score >= SURE for lang, score, _ in found], pa.bool_()))
 
     return run

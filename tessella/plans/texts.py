@@ -96,11 +96,11 @@ def parse_timestamp(t: Tables):
 
 
 @plan("tx15_readability", r"""WITH c AS (SELECT doc_id, greatest(len(regexp_extract_all(text, '[.!?]+')), 1) AS s, greatest(len(regexp_extract_all(text, '[A-Za-z]+')), 1) AS w, len(regexp_extract_all(lower(text), '[aeiouy]+')) AS v FROM documents)
-  SELECT doc_id, round(206.835 - 1.015 * w / s - 84.6 * v / w, 4) AS ease, round(0.39 * w / s + 11.8 * v / w - 15.59, 4) AS grade FROM c""")
+  SELECT doc_id, round(206.835 - 1.015 * w / s - 84.6 * v / w, 2) AS ease, round(0.39 * w / s + 11.8 * v / w - 15.59, 2) AS grade FROM c""")
 def readability(t: Tables):
     count = lambda p, c="text": F.regexp_count(F.col(c) if isinstance(c, str) else c, F.lit(p)).cast("double")
     s, w, v = F.greatest(count("[.!?]+"), F.lit(1.0)), F.greatest(count("[A-Za-z]+"), F.lit(1.0)), count("[aeiouy]+", F.lower("text"))
-    return t.documents.select("doc_id", F.round(206.835 - 1.015 * w / s - 84.6 * v / w, 4).alias("ease"), F.round(0.39 * w / s + 11.8 * v / w - 15.59, 4).alias("grade"))
+    return t.documents.select("doc_id", F.round(206.835 - 1.015 * w / s - 84.6 * v / w, 2).alias("ease"), F.round(0.39 * w / s + 11.8 * v / w - 15.59, 2).alias("grade"))
 
 
 @plan("tx20_keyword_score", r"SELECT doc_id, (CASE WHEN regexp_matches(lower(substr(text, 1, 80)), '\bthe\b') THEN 6 WHEN regexp_matches(lower(text), '\bthe\b') THEN 3 ELSE 0 END) + (CASE WHEN regexp_matches(lower(substr(text, 1, 80)), '\bder\b') THEN 2 WHEN regexp_matches(lower(text), '\bder\b') THEN 1 ELSE 0 END) AS score FROM documents")
