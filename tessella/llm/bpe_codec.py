@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import slices, strings, tokenizer_path
+from .common import slices, strings, tokenizer_path, worker_state
 
 #: Pieces between spaces that one worker remembers with their ids. Beyond it the memory starts afresh.
 MEMORY = 400_000
@@ -188,14 +188,9 @@ class PrefixBpe:
         return " ".join(map(self.by_text.__getitem__, ids))
 
 
-_CODECS: dict[str, PrefixBpe] = {}
-
-
 def codec(path: str) -> PrefixBpe:
     """One codec a worker and tokenizer."""
-    if path not in _CODECS:
-        _CODECS[path] = PrefixBpe(path)
-    return _CODECS[path]
+    return worker_state(f"bpe {path}", lambda: PrefixBpe(path))
 
 
 def _digest(path: str):

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate
+from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
@@ -40,3 +41,16 @@ def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
+
+
+T = TypeVar("T")
+_STATE: dict[str, object] = {}
+
+
+def worker_state(key: str, make: Callable[[], T]) -> T:
+    """What a worker keeps from task to task (a codec, a model, what they remember). Only the latest is kept, so workers
+    that serve one operator after another don't gather the memories of all."""
+    if key not in _STATE:
+        _STATE.clear()
+        _STATE[key] = make()
+    return _STATE[key]

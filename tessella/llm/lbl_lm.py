@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import cut
-from .common import slices
+from .common import slices, worker_state
 
 #: Words with own vectors, and the vectors' length.
 WORDS, SIZE = 2_000, 32
@@ -216,14 +216,8 @@ def class_counts(counts: np.ndarray, tokens: int) -> np.ndarray:
     return np.append(kept, max(tokens - kept.sum(), 0))
 
 
-_MODELS: dict[str, Model] = {}
-
-
 def _opened(key: str, shared) -> Model:
-    if key not in _MODELS:
-        _MODELS.clear()
-        _MODELS[key] = shared.value.open()
-    return _MODELS[key]
+    return worker_state(key, lambda: shared.value.open())
 
 
 def _train(key: str, shared):
