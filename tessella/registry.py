@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import curation, dedup, filters, graphs, joins, rollups, search, splits, storage, streams, texts, windows  # noqa: F401  they register their plans
+from .plans import curation, dedup, filters, formats, graphs, joins, rollups, search, splits, storage, streams, texts, windows  # noqa: F401  they register their plans
 from .plans.base import ORACLES, PLANS
 
 
