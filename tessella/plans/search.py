@@ -65,3 +65,24 @@ def content_gap(t: Tables):
     terms = lambda df, n: df.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0)).alias("term")).groupBy("term").agg(F.count("*").alias(n))
     j = terms(t.benchmark, "want").join(terms(t.documents.where("doc_id < 100"), "have"), "term", "left")
     return j.select("term", F.when(F.col("have").isNull(), "missing").when(F.col("have") < F.col("want"), "thin").when(F.col("have") > 50 * F.col("want"), "overused").otherwise("covered").alias("state"))
+
+
+@plan("dd22_exact_l2", """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT q.vec_id AS query_id, c.vec_id, round(list_inner_product(q.v, q.v) + list_inner_product(c.v, c.v) - 2 * list_inner_product(q.v, c.v), 5) AS d FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 125 = 0)
+  SELECT query_id, vec_id FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) <= 3""")
+def exact_l2(t: Tables):
+    from pyspark.sql import Window
+
+    from ..functions.columns import dot
+
+    v = t.embeddings.select("vec_id", F.col("embedding").alias("v"))
+    q = v.where("vec_id % 125 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    d = dot(F.col("q"), F.col("q")) + dot(F.col("v"), F.col("v")) - 2 * dot(F.col("q"), F.col("v"))
+    s = v.join(q, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(d, 5).alias("d"))
+    return s.withColumn("rn", F.row_number().over(Window.partitionBy("query_id").orderBy("d", "vec_id"))).where("rn <= 3").select("query_id", "vec_id")
+
+
+@plan("jn13_lsh_pairs")
+def lsh_pairs(t: Tables):
+    from ..operators.similarity import minhash_pairs
+
+    return minhash_pairs(t.documents, "doc_id", 5, 0.8)

@@ -97,3 +97,30 @@ def deficits(t: Tables):
     d = t.orders.groupBy(F.col("o_orderpriority").alias("phase")).agg(F.greatest(F.lit(0), 3050 - F.count("*")).alias("deficit"))
     share = F.coalesce(F.try_divide("deficit", F.sum("deficit").over(Window.partitionBy())), F.lit(0.0))
     return d.select("phase", "deficit", F.round(F.greatest(F.lit(0.15), share), 6).alias("effort"))
+
+
+@plan("sp03_holdout_groups", """WITH g AS (SELECT o_custkey, count(*) AS n, md5(o_custkey::VARCHAR) AS h FROM orders GROUP BY ALL), r AS (SELECT *, sum(n) OVER (ORDER BY h) - n AS before, sum(n) OVER () AS total FROM g) SELECT o_custkey, before < 0.2 * total AS held_out FROM r""")
+def holdout_groups(t: Tables):
+    from ..operators.ranking import running_sum
+
+    g = t.orders.groupBy("o_custkey").agg(F.count("*").alias("n")).withColumn("h", F.md5(F.col("o_custkey").cast("string").cast("binary")))
+    total = t.orders.count()
+    return running_sum(g, ["h"], "n").select("o_custkey", (F.col("before") < 0.2 * total).alias("held_out"))
+
+
+@plan("sp06_downsample", "SELECT event_id, CASE WHEN event_type = 'view' THEN 4 ELSE 1 END AS weight FROM events WHERE event_type <> 'view' OR ('0x' || substr(md5(event_id::VARCHAR), 1, 8))::BIGINT % 4 = 0")
+def downsample(t: Tables):
+    draw = F.conv(F.substring(F.md5(F.col("event_id").cast("string").cast("binary")), 1, 8), 16, 10).cast("long") % 4
+    easy = F.col("event_type") == "view"
+    return t.events.where(~easy | (draw == 0)).select("event_id", F.when(easy, 4).otherwise(1).alias("weight"))
+
+
+@plan("sp12_mixture")
+def mixture(t: Tables):
+    return t.documents.sampleBy("lang", {"en": 0.2, "de": 0.5, "fr": 0.5, "es": 0.9}, seed=3).select("doc_id", "lang")
+
+
+@plan("sp17_pack_conflicts", "SELECT min(p_partkey) AS p_partkey FROM part GROUP BY p_name, p_brand HAVING count(DISTINCT p_type) = 1")
+def pack_conflicts(t: Tables):
+    g = t.part.groupBy("p_name", "p_brand").agg(F.min("p_partkey").alias("p_partkey"), F.min("p_type").alias("a"), F.max("p_type").alias("b"))
+    return g.where("a = b").select("p_partkey")

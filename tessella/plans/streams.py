@@ -23,3 +23,10 @@ def replay(t: Tables):
 def stream_sessions(t: Tables):
     s = event_stream(t.spark, t.sf_dir).withWatermark("ts", "1 hour").groupBy("user_id", F.session_window("ts", "6 hours")).agg(F.count("*").alias("n"))
     return drain(s.select("user_id", F.col("session_window.start").alias("opened"), "n"))
+
+
+@plan("sm10_stateful_incidents")
+def stateful_incidents(t: Tables):
+    from ..streaming.state import incident_stream
+
+    return drain(incident_stream(event_stream(t.spark, t.sf_dir)))

@@ -181,3 +181,27 @@ def contrast(t: Tables):
     k, s = F.col("p_partkey"), F.col("p_size")
     lum = 0.2126 * linear(k % 256) + 0.7152 * linear(s * 5 % 256) + 0.0722 * linear(k * 7 % 256)
     return t.part.select("p_partkey", F.round(1.05 / (lum + 0.05), 4).alias("ratio"))
+
+
+#: Names and shapes of secrets; what is found first in this order has the place.
+SIGNATURES = [("github", r"gh[pousr]_[A-Za-z0-9]{36}"), ("aws", r"AKIA[0-9A-Z]{16}"), ("slack", r"xox[baprs]-[A-Za-z0-9-]{10,}"), ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"), ("token", r"token = .[0-9a-f]{40}")]
+
+
+@plan("tx06_secret_scan", "SELECT doc_id, kind, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, unnest(regexp_extract_all(text, '{p}')) AS hit FROM documents" for k, p in SIGNATURES) + ") GROUP BY ALL")
+def secret_scan(t: Tables):
+    hits = F.array(*(F.struct(F.lit(k).alias("kind"), F.regexp_count("text", F.lit(p)).cast("long").alias("n")) for k, p in SIGNATURES))
+    return t.documents.select("doc_id", F.explode(F.filter(hits, lambda x: x["n"] > 0)).alias("x")).select("doc_id", "x.*")
+
+
+@plan("tx16_syllables")
+def syllables(t: Tables):
+    from ..operators.prose import syllable_counts
+
+    return syllable_counts(t.documents.select("doc_id", "text"))
+
+
+@plan("tx17_sentences")
+def sentences(t: Tables):
+    from ..operators.prose import sentence_counts
+
+    return sentence_counts(t.documents.select("doc_id", "text"))
