@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import slices, tokenizer_path
+from .common import slices, tokenizer_path, worker_state
 
 #: Labelled documents that the model is fitted on, at most, in all and by language; taken by the hash of their id.
 FIT_DOCS, FIT_DOCS_EACH = 6_000, 1_500
@@ -32,7 +32,7 @@ SMOOTH = 0.02
 #: Longest piece, and longest run of letters scored as one word; longer runs are scored in stretches of that many letters.
 PIECE, RUN = 8, 64
 #: Words that one worker remembers with their scores. Beyond it the memory starts afresh.
-MEMORY = 300_000
+MEMORY = 200_000
 #: Words of a text that count in full; beyond it the evidence grows with the root of their number, so scores don't saturate.
 FULL = 4
 RESULT = "doc_id long, lang_pred string, score double, n_letters long"
@@ -221,20 +221,9 @@ def fit(docs: DataFrame, vocabulary: str | None = None) -> Model:
     return fit_counts(counts, Counter(dict(map(tuple, sizes))), pieces_of(vocabulary or tokenizer_path("piece_bpe_32k.model")))
 
 
-_MODELS: dict[str, Model] = {}
-
-
-def _worker_model(key: str, model) -> Model:
-    """One model, with its memory, for all tasks of a worker."""
-    if key not in _MODELS:
-        _MODELS.clear()
-        _MODELS[key] = model.value
-    return _MODELS[key]
-
-
 def _predict(key: str, model):
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mine = _worker_model(key, model)
+        mine = worker_state(key, lambda: model.value)
         for batch in slices(batches):
             found = mine.texts(batch.column("text").to_pylist())
             lang, score, letters = zip(*found, strict=True) if found else ((), (), ())
@@ -265,7 +254,7 @@ SURE = 0.5
 
 def _filter(key: str, model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mine = _worker_model(key, model)
+        mine = worker_state(key, lambda: model.value)
         for batch in slices(batches):
             found = mine.texts(batch.column("text").to_pylist())
             yield batch.filter(pa.array([lang != "und" and score >= SURE for lang, score, _ in found], pa.bool_()))
