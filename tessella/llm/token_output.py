@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..session import shared_dir, shuffle_width
-from .common import slices, strings, tokenizer_path
+from .common import slices, strings, tokenizer_path, worker_state
 from .simple8b import pack, unpack
 
 BLOCK_IDS = 32_768
@@ -107,14 +107,9 @@ class PieceEncoder:
         return np.frombuffer(self._join(self.first, [head], "") + self._join(self.later, rest, " "), "<u4")
 
 
-_ENCODERS: dict[str, PieceEncoder] = {}
-
-
 def encoder(path: str) -> PieceEncoder:
     """One encoder a worker and tokenizer."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = PieceEncoder(path)
-    return _ENCODERS[path]
+    return worker_state(f"pieces {path}", lambda: PieceEncoder(path))
 
 
 def _write_blocks(path: str, end_id: int):
