@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from tessella.llm.bpe_codec import bpe_codes
 from tessella.llm.langid import keep_known
 from tessella.llm.mixing import mixed_documents
+from tessella.llm.near_copies import keep_one_of_near
 from tessella.llm.quality_forest import keep_good
-from tessella.llm.simhash import keep_one_of_each
 from tessella.session import cut
 from tessella.sources.tables import load
 
@@ -28,8 +28,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints."""
-    return keep_one_of_each(docs)
+    """One document of each group of near copies: five-word shingles, similarity 0.8 or more, exact."""
+    return keep_one_of_near(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
