@@ -5,8 +5,8 @@ vectors of their own, the others share one, inside which they keep their share o
 of each context word, so the normaliser of every pair of contexts is one entry of a product of two matrices, and token
 log-probabilities are exact look-ups.
 
-Training covers every training document: a start on a bounded sample, then each task goes on from it over its own
-documents and the tasks' parameters are averaged by the number of positions that they saw. Counts cover all tokens. Words
+Training covers every position of every training document: a start on a bounded sample, then each task goes on from it over
+its own documents and the tasks' parameters are averaged by the number of positions that they saw. Counts cover all tokens. Words
 with many occurrences are looked up in a bounded table; the rest meet their counts in a join.
 """
 
@@ -30,8 +30,6 @@ WORDS, SIZE = 2_000, 32
 TABLE, TABLE_BYTES = 250_000, 128
 #: Documents of the start, about; their positions at most; passes over them.
 START_DOCS, START_POSITIONS, START_PASSES = 1_500, 400_000, 2
-#: Of the positions of a document, one in so many takes part in the averaged pass.
-STRIDE = 8
 BATCH, NOISE, RATE, SEED = 512, 64, 0.1, 11
 #: Distinct words that a counting task holds before it hands them on.
 HELD = 200_000
@@ -231,7 +229,7 @@ def _train(key: str, shared):
         for batch in slices(batches):
             classes = [model.class_of(model.ids(words_of(x))) for x in batch.column("text").to_pylist()]
             triples = triples_of(classes, model.classes + 1)
-            trainer.run(triples[trainer.rng.integers(STRIDE) :: STRIDE])
+            trainer.run(triples)
         if trainer.seen:
             rows = mine.flat()
             values = pa.FixedSizeListArray.from_arrays(pa.array(rows.ravel()), SIZE).cast(pa.list_(pa.float32()))
