@@ -27,18 +27,26 @@ PAGES, SEED = 600, 5
 #: Added to every count.
 SMOOTH = 0.5
 
-# Fixed values of HTML: elements without an end, elements whose text isn't shown, inline elements.
+# Fixed values of HTML: elements without an end, elements whose text isn't shown, those of them that hold no tags, inline
+# elements (embedded ones with their words among them, and the elements of formulas and drawings).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("script style noscript template head title svg math iframe object canvas audio video map textarea select datalist".split())
-RAW = frozenset("script style textarea title noscript iframe".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
+UNSEEN = frozenset("script style noscript template head title iframe textarea select datalist".split())
+RAW = frozenset("script style".split())
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var "
+    "audio canvas map object picture video "
+    "math annotation mfrac mi mn mo mover mpadded mphantom mroot mrow ms msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics "
+    "svg circle defs desc ellipse g line path polygon polyline rect text textpath tspan use".split()
+)
 #: A start tag closes open elements of these tags, up to the nearest of the second list.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
     "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}),
 }
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*)>""", re.DOTALL)
+#: What follows the ``<`` of a tag: the slash of an end tag, the name, and the attributes up to ``>``, which may be quoted.
+_TAG = re.compile(r"""(/?+)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
+_NAMED = re.compile(r"(/?+)([a-zA-Z][^\s/>]*+)")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.IGNORECASE)
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -57,12 +65,76 @@ class Node:
     label: int | None = None
 
 
+class _Reader:
+    """The tags of a page from left to right, in time that is linear in the page however broken it is."""
+
+    def __init__(self, page: str):
+        self.page, self.place, self.quoted = page, 0, True
+        self.ends: dict[str, re.Pattern] = {}
+        self.none: set[str] = set()  # elements that no end tag follows any more
+
+    def next(self) -> tuple[str, str, str, str] | None:
+        """The text before the next tag, its slash, name (empty for a comment or the like) and attributes; None after the last."""
+        page, start = self.page, self.place
+        at = start
+        while (at := page.find("<", at)) >= 0:
+            if page.startswith("<!--", at):
+                end = page.find("-->", at + 4)
+                return self._out(start, at, len(page) if end < 0 else end + 3)
+            if page.startswith("<![CDATA[", at):
+                end = page.find("]]>", at + 9)
+                inside = page[at + 9 : len(page) if end < 0 else end].replace("&", "&amp;")
+                before = page[start:at] + inside
+                self.place = len(page) if end < 0 else end + 3
+                return before, "", "", ""
+            if page[at + 1 : at + 2] in ("!", "?"):
+                if (end := page.find(">", at + 2)) >= 0:
+                    return self._out(start, at, end + 1)
+                break
+            # A quote that never ends is tried once a page; after it tags end at the first ``>``.
+            if self.quoted and _NAMED.match(page, at + 1):
+                if m := _TAG.match(page, at + 1):
+                    return self._out(start, at, m.end(), m[1], m[2].lower(), m[3])
+                self.quoted = False
+            if m := _NAMED.match(page, at + 1):
+                if (end := page.find(">", m.end())) < 0:
+                    break
+                return self._out(start, at, end + 1, m[1], m[2].lower(), page[m.end() : end])
+            at += 1
+        return None
+
+    def _out(self, start: int, at: int, place: int, slash: str = "", name: str = "", rest: str = "") -> tuple[str, str, str, str]:
+        self.place = place
+        return self.page[start:at], slash, name, rest
+
+    def skip(self, name: str) -> None:
+        """Go past the end tag of an element whose text isn't shown. A head ends before a body at the latest. An element
+        without an end hides nothing, but for the rest of a script or style up to what looks like a tag."""
+        page, m = self.page, None
+        if name not in self.none:
+            pattern = self.ends.get(name)
+            if pattern is None:
+                pattern = self.ends[name] = re.compile(r"</head(?![^\s/>])|<body(?![^\s/>])" if name == "head" else rf"</{name}(?![^\s/>])", re.IGNORECASE)
+            m = pattern.search(page, self.place)
+        if m is None:
+            self.none.add(name)
+            if name in RAW:
+                tag = re.compile(r"<[a-zA-Z/!]").search(page, self.place)
+                self.place = tag.start() if tag else len(page)
+        elif page[m.start() + 1] != "/":
+            self.place = m.start()
+        else:
+            end = page.find(">", m.end())
+            self.place = len(page) if end < 0 else end + 1
+
+
 def parse(page: str) -> Node:
     """The tree of block elements and text blocks of a page; never fails on malformed markup."""
     root = at = Node("html")
     stack: list[tuple[str, Node | None]] = []  # open elements; inline ones have no node
+    opened: Counter = Counter()  # how many of each are open
     parts: list[str] = []
-    linked, in_link, place, n = 0, 0, 0, len(page)
+    linked, in_link, reader = 0, 0, _Reader(page)
 
     def flush() -> None:
         nonlocal linked
@@ -77,6 +149,7 @@ def parse(page: str) -> Node:
         """Close the open elements from the k-th on."""
         nonlocal at, in_link
         for tag, node in reversed(stack[k:]):
+            opened[tag] -= 1
             if node is not None:
                 flush()
                 at = node.parent
@@ -84,30 +157,32 @@ def parse(page: str) -> Node:
                 in_link = max(0, in_link - 1)
         del stack[k:]
 
-    for token in iter(lambda: _TOKEN.search(page, place), None):
-        if token.start() > place:
-            text = page[place : token.start()]
+    def end_of(tag: str) -> None:
+        """Close the nearest open element of that tag; an inline one only above the last block."""
+        if not opened[tag]:
+            return
+        for k in range(len(stack) - 1, -1, -1):
+            if stack[k][0] == tag:
+                close(k)
+                return
+            if tag in INLINE and stack[k][1] is not None:
+                return
+
+    while (found := reader.next()) is not None:
+        text, closing, tag, rest = found
+        if text:
             parts.append(text)
             linked += len(text) if in_link else 0
-        place = token.end()
-        closing, tag, rest = token[1], (token[2] or "").lower(), token[3] or ""
-        if token[0].startswith("<![CDATA["):
-            parts.append(token[0][9:].removesuffix("]]>").replace("&", "&amp;"))
         if not tag:
             continue
         if closing:
             if tag == "br":
                 parts.append(" ")
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), -1)
-            if k >= 0 and (tag not in INLINE or all(x is None for _, x in stack[k:])):
-                close(k)
+            end_of(tag)
             continue
         if tag in UNSEEN:
-            if tag in RAW:
-                end = re.compile(rf"</{tag}\s*>", re.IGNORECASE).search(page, place)
-                place = end.end() if end else n
-            elif not rest.rstrip().endswith("/"):
-                place = _skip(page, tag, place)
+            if tag in RAW or not rest.endswith("/"):
+                reader.skip(tag)
             if tag not in ("script", "style", "template"):
                 parts.append(" ")
             continue
@@ -118,16 +193,19 @@ def parse(page: str) -> Node:
                 flush()
             continue
         if tag in INLINE and not (tag in ("label", "ins") or _marked(rest)):
-            stack.append((tag, None))
-            in_link += tag == "a"
+            if not rest.endswith("/") or tag == "a":
+                stack.append((tag, None))
+                opened[tag] += 1
+                in_link += tag == "a"
             continue
-        for k in range(len(stack) - 1, -1, -1):  # a block ends an open paragraph
-            if stack[k][0] == "p" and tag not in INLINE:
-                close(k)
-                break
-            if stack[k][1] is not None and stack[k][0] in ("article", "section", "div", "td", "li", "body", "button", "table"):
-                break
-        if tag in CLOSES:
+        if opened["p"] and tag not in INLINE:  # a block ends an open paragraph
+            for k in range(len(stack) - 1, -1, -1):
+                if stack[k][0] == "p":
+                    close(k)
+                    break
+                if stack[k][1] is not None and stack[k][0] in ("article", "section", "div", "td", "li", "body", "button", "table"):
+                    break
+        if tag in CLOSES and any(opened[x] for x in CLOSES[tag][0]):
             ends, stops = CLOSES[tag]
             low = len(stack)
             for k in range(len(stack) - 1, -1, -1):
@@ -141,9 +219,10 @@ def parse(page: str) -> Node:
         node = Node(tag, names, at)
         at.children.append(node)
         stack.append((tag, node))
+        opened[tag] += 1
         at = node
-    parts.append(page[place:])
-    linked += (n - place) if in_link else 0
+    parts.append(page[reader.place :])
+    linked += (len(page) - reader.place) if in_link else 0
     close(0)
     flush()
     return root
@@ -157,16 +236,6 @@ def _marked(rest: str) -> bool:
     return bool(rest) and any(x.lower() in _TELLING for a in _ATTRIBUTE.finditer(rest) for x in _NAME.findall(a[2]))
 
 
-def _skip(page: str, tag: str, place: int) -> int:
-    """The end of an element whose text isn't shown, nested ones included; of the page if it has none."""
-    depth = 1
-    for m in re.compile(rf"<(/?){tag}\b[^>]*>", re.IGNORECASE).finditer(page, place):
-        depth += -1 if m[1] else 0 if m[0].endswith("/>") else 1
-        if not depth:
-            return m.end()
-    return len(page)
-
-
 def kind(node: Node) -> str:
     """What the table of transitions goes by."""
     return node.tag or "text"
