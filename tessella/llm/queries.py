@@ -65,7 +65,7 @@ def op9_lbl_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix of target weights takes of every document."""
-    return mixing.mixing_digest(load(spark, sf_dir, "documents")).withColumn("target", F.round("target", 3))
+    return mixing.mix(load(spark, sf_dir, "documents")).drop("source")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
