@@ -99,12 +99,17 @@ def _script(text: Column) -> Column:
     return (F.octet_length(text) - F.char_length(text)) / F.greatest(F.octet_length(text), F.lit(1))
 
 
-def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
+#: Name of the passing column of row numbers, which no table should have.
+ROW = "__shard_row"
+
+
+def shard_documents(docs: DataFrame, shards: int = SHARDS, row: str | None = None) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard of every row of ``docs`` (doc_id, text).
 
     ``size`` is the text's UTF-8 bytes plus 8. A null text has no bytes and the crc32 of none; a null doc_id is ordered
     first among equal texts; rows equal in text and doc_id follow each other in either order; with fewer rows than shards
-    some shards are empty; an empty table gives no rows; other columns are ignored.
+    some shards are empty; an empty table gives no rows; other columns are ignored. ``row`` names a column that numbers the
+    rows, which is kept and breaks the last ties.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     spaces = F.octet_length(text) - F.octet_length(F.translate(text, " \t\n", ""))
@@ -112,24 +117,25 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         docs.select(
             "doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
             F.xxhash64(text).alias("text_hash"), F.octet_length(text).alias("d_size"), _script(text).alias("d_script"),
-            (spaces / F.greatest(F.octet_length(text), F.lit(1))).alias("d_words"),
+            (spaces / F.greatest(F.octet_length(text), F.lit(1))).alias("d_words"), (F.col(row) if row else F.monotonically_increasing_id()).alias("row"),
         ),
         "hilbert-facts",
     )
-    placed = curve_order(facts, ["d_size", "d_script", "d_words"], ["text_crc32", "text_hash", "doc_id"])
+    placed = curve_order(facts, ["d_size", "d_script", "d_words"], ["text_crc32", "text_hash", "doc_id", "row"])
     rows = facts.count()
     return cut_runs(placed, shards, rows).select(
-        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve"
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve", *([F.col("row").alias(row)] if row else [])
     )
 
 
 def write_shards(docs: DataFrame, out: str, shards: int = SHARDS) -> str:
-    """Write whole ``docs`` to ``out``, one folder a shard, sorted by slot inside; rows meet their shard by id and text."""
-    found = shard_documents(docs, shards).select(F.col("doc_id").alias("k"), F.col("text_crc32").alias("c"), "shard", "slot")
-    found = found.groupBy("k", "c").agg(F.min(F.struct("shard", "slot")).alias("at"))
-    crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
-    marked = docs.withColumn("__crc", crc)
-    met = marked.join(found, marked["doc_id"].eqNullSafe(found["k"]) & (marked["__crc"] == found["c"]))
-    placed = met.select(*docs.columns, F.col("at.shard").alias("__shard"), F.col("at.slot").alias("__slot"))
-    placed.repartitionByRange(shuffle_width(docs.sparkSession), "__shard", "__slot").sortWithinPartitions("__shard", "__slot").write.partitionBy("__shard").parquet(out)
+    """Write whole ``docs`` to ``out``, one folder a shard, sorted by slot inside.
+
+    Rows are numbered first and meet their shard by number, so equal rows have shards and slots of their own. Null texts
+    and ids are rows like others; other columns, whatever their names, are kept.
+    """
+    numbered = cut(docs.withColumn(ROW, F.monotonically_increasing_id()), "hilbert-numbered")
+    found = shard_documents(numbered.select("doc_id", "text", ROW), shards, ROW).select(ROW, F.col("shard").alias("__shard"), F.col("slot").alias("__slot"))
+    met = numbered.join(found, ROW).drop(ROW)
+    met.repartitionByRange(shuffle_width(docs.sparkSession), "__shard", "__slot").sortWithinPartitions("__shard", "__slot").write.partitionBy("__shard").parquet(out)
     return out
