@@ -1,14 +1,18 @@
 """Exact top-k by inner product as a Voronoi join.
 
-Vectors are grouped by their nearest pivot. A group's summary is its radius and its number of rows. A query first meets its
-own group and so gets a score that its k-th result reaches at least; by the Cauchy-Schwarz inequality no vector of a group
-with pivot p and radius r scores more than q.p + |q| r, so the query is copied only to the groups whose bound reaches that
-score. Groups are solved by matrix products, large ones in blocks, and the best k of all groups are kept.
+Vectors are grouped by their nearest pivot. A group's summary is its radius, its longest vector and its number of rows. A
+query first meets its own group and so gets a score that its k-th result reaches at least. A vector v of a group with pivot p
+and radius r scores no more than q.p + |q| r (Cauchy-Schwarz), and no more than (|q|^2 + max |v|^2 - d^2) / 2 with d = max(0,
+|q - p| - r), its least distance from q (triangle inequality). The query is copied only to the groups whose lower bound reaches
+its score, and a group's rows only as often as there are batches of queries that visit it; groups that no query visits go
+nowhere. Groups are solved by matrix products, large ones in blocks, and the best k of all groups are kept. Vectors of
+different lengths never meet: each length is searched by itself.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +20,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import cut
 
-#: Rows that pivots are fitted on, at most, taken by the hash of their id; rounds of fitting; pivots at most.
-SAMPLE, ROUNDS, PIVOTS = 4_096, 4, 256
+#: Rows that pivots are fitted on, at most, taken by the hash of their id; rounds of fitting; pivots at most (they and their
+#: summaries are held by every worker). Up to there the number of pivots is the root of the number of rows.
+SAMPLE, ROUNDS, PIVOTS = 16_384, 4, 2_048
 #: Rows of a group that are solved together, and queries that meet them at a time.
 BLOCK, QUERY_BLOCK = 2_048, 16_384
 #: Slack of the bounds against the rounding of doubles, relative to their size.
@@ -108,7 +113,14 @@ def _solve(k: int):
     return solve
 
 
-def _visits(pivots: np.ndarray, radii: np.ndarray):
+def reach(q: np.ndarray, pivots: np.ndarray, radii: np.ndarray, longest: np.ndarray) -> np.ndarray:
+    """An upper bound of the score of each query with any vector of each group."""
+    dot, norm = q @ pivots.T, (q**2).sum(1)[:, None]
+    apart = np.sqrt(np.maximum(norm + (pivots**2).sum(1) - 2 * dot, 0)) - radii
+    return np.minimum(dot + np.sqrt(norm) * radii, (norm + longest - np.maximum(apart * (1 - SLACK), 0) ** 2) / 2)
+
+
+def _visits(pivots: np.ndarray, radii: np.ndarray, longest: np.ndarray):
     """Rows (query_id, q, visit) for every other group that a query must meet."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,8 +129,8 @@ def _visits(pivots: np.ndarray, radii: np.ndarray):
                 batch = whole.slice(at, 1_024)
                 q = _matrix(batch.column("q"))
                 floor = batch.column("floor").fill_null(-np.inf).to_numpy(zero_copy_only=False)
-                reach = q @ pivots.T + np.sqrt((q**2).sum(1))[:, None] * radii
-                need = reach + SLACK * (1 + np.abs(reach)) >= floor[:, None]
+                bound = reach(q, pivots, radii, longest)
+                need = bound + SLACK * (1 + np.abs(bound)) >= floor[:, None]
                 need &= (radii >= 0) & (batch.column("cell").to_numpy()[:, None] != np.arange(len(pivots)))
                 row, cell = np.nonzero(need)
                 yield pa.RecordBatch.from_arrays([batch.column("query_id").take(pa.array(row)), batch.column("q").take(pa.array(row)), pa.array(cell.astype(np.int32))], names=["query_id", "q", "visit"])
@@ -126,47 +138,63 @@ def _visits(pivots: np.ndarray, radii: np.ndarray):
     return run
 
 
+def _sample(sound: DataFrame, rows: int, limit: int) -> list:
+    """The ``limit`` vectors of least hash; a cut of the hash lets through about twice as many, so no partition sends many."""
+    place = F.pmod(F.xxhash64("vec_id", "v"), F.lit(1 << 30))
+    found = sound.where(place < int(min(1.0, 2 * limit / rows) * (1 << 30))).orderBy(place, "v").limit(limit).select("v").collect()
+    return found if found else sound.limit(1).select("v").collect()
+
+
 def top_k(vectors: DataFrame, queries: Column, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id and score of the k highest integer inner products of each query row, its own id left out.
 
     ``queries`` tells which rows of ``vectors`` (vec_id, embedding) are queries. Components become floor(256 x). Vectors
-    that are null or hold a null or non-finite component, and vectors that aren't of the table's most frequent length,
-    take no part. Ties go to the smaller vec_id, a null vec_id is a candidate that comes last among ties; rows with the
+    that are null or hold a null or non-finite component, and empty ones, take no part; a vector only meets those of its own
+    length. Ties go to the smaller vec_id, a null vec_id is a candidate that comes last among ties; rows with the
     query's own vec_id are the query's own; of query rows that share an id the smallest vector asks; fewer than k
     candidates give fewer rows; an empty table gives none. Scores are exact below 2**53. Other columns are ignored.
     """
     spark = vectors.sparkSession
     sound = vectors.select("vec_id", quantised(F.col("embedding")).alias("v"), queries.alias("asks")).where("v is not null")
-    lengths = sound.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    if not lengths:
+    lengths = sound.groupBy(F.size("v").alias("d")).count().orderBy("d").collect()  # a row for each length
+    found = [_search(sound.where(F.size("v") == d), d, n, k) for d, n in lengths if d]
+    if not found:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    dim, rows = lengths[0]
-    sound = sound.where(F.size("v") == dim)
-    sample = sound.orderBy(F.xxhash64("vec_id"), "v").limit(SAMPLE).select("v").collect()
-    pivots = fit_pivots(np.array([x[0] for x in sample], float).reshape(len(sample), dim), min(PIVOTS, max(1, int(rows**0.5 / 2))))
+    return reduce(DataFrame.unionByName, found)
+
+
+def _search(sound: DataFrame, dim: int, rows: int, k: int) -> DataFrame:
+    """:func:`top_k` over sound vectors (vec_id, v, asks) of one length."""
+    spark = sound.sparkSession
+    count = min(PIVOTS, max(1, int(rows**0.5)))
+    sample = _sample(sound, rows, min(SAMPLE, 16 * count))
+    pivots = fit_pivots(np.array([x[0] for x in sample], float).reshape(len(sample), dim), count)
     placed = cut(sound.select("vec_id", "v").mapInArrow(_place(pivots), PLACED), "knn-placed")
-    summary = {r["cell"]: r for r in placed.groupBy("cell").agg(F.max("radius").alias("radius"), F.count("*").alias("n")).collect()}  # a row a pivot
-    radii = np.array([summary[c]["radius"] if c in summary else -1.0 for c in range(len(pivots))])
-    blocks = spark.createDataFrame([(c, -(-r["n"] // BLOCK)) for c, r in summary.items()], "c int, blocks int")
+    longest = F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("longest")
+    summary = {r["cell"]: r for r in placed.groupBy("cell").agg(F.max("radius").alias("radius"), longest, F.count("*").alias("n")).collect()}  # a row a pivot
+    radii, norms = (np.array([summary[c][x] if c in summary else -1.0 for c in range(len(pivots))]) for x in ("radius", "longest"))
     asked = placed.join(sound.where("asks").groupBy("vec_id").agg(F.min("v").alias("q")), "vec_id").where("v = q")
     asked = cut(asked.select(F.col("vec_id").alias("query_id"), "q", "cell").dropDuplicates(["query_id"]), "knn-queries")
-    parts = -(-max(asked.count(), 1) // QUERY_BLOCK)
-    data = placed.join(F.broadcast(blocks), placed["cell"] == blocks["c"]).select(
-        "vec_id", "v", "cell", F.pmod(F.xxhash64("vec_id", "v"), "blocks").cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")
-    )
 
     def met(pairs: DataFrame) -> DataFrame:
         """The best k of each visited block, for rows (query_id, q, visit)."""
-        dealt = pairs.join(F.broadcast(blocks), pairs["visit"] == blocks["c"]).select(
-            "query_id", "q", F.col("visit").alias("cell"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int").alias("part")
+        pairs = cut(pairs, "knn-visits")
+        visited = pairs.groupBy("visit").count().collect()  # a row a pivot
+        deal = [(c, -(-summary[c]["n"] // BLOCK), -(-n // QUERY_BLOCK)) for c, n in visited]
+        groups = F.broadcast(spark.createDataFrame(deal, "c int, blocks int, parts int"))  # a row a pivot
+        data = placed.join(groups, placed["cell"] == groups["c"]).select(
+            "vec_id", "v", "cell", F.pmod(F.xxhash64("vec_id", "v"), "blocks").cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+        )
+        dealt = pairs.join(groups, pairs["visit"] == groups["c"]).select(
+            "query_id", "q", F.col("visit").alias("cell"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("query_id"), "parts").cast("int").alias("part")
         )
         keys = ["cell", "block", "part"]
         return data.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInArrow(_solve(k), FOUND)
 
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))
-    own = cut(met(asked.withColumnRenamed("cell", "visit")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k), "knn-own")
+    own = cut(met(asked.select("query_id", "q", F.col("cell").alias("visit"))).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k), "knn-own")
     floors = own.where(F.col("rank") == k).select("query_id", F.col("score").cast("double").alias("floor"))
-    far = asked.join(floors, "query_id", "left").select("query_id", "q", "cell", "floor").mapInArrow(_visits(pivots, radii), "query_id long, q array<double>, visit int")
+    far = asked.join(floors, "query_id", "left").select("query_id", "q", "cell", "floor").mapInArrow(_visits(pivots, radii, norms), "query_id long, q array<double>, visit int")
     found = own.select("query_id", "vec_id", "score").unionByName(met(far))
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
