@@ -22,19 +22,19 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import slices, tokenizer_path, worker_state
 
-#: Labelled documents that the model is fitted on, at most, in all and by language; taken by the hash of their id.
-FIT_DOCS, FIT_DOCS_EACH = 6_000, 1_500
-#: Distinct words that take part in fitting, by falling count, times the number of languages.
-FIT_WORDS = 8_000
+#: Labelled documents that the model is fitted on, at most, in all and by language; taken by the hash of their id. All words
+#: of their whole texts take part.
+FIT_DOCS, FIT_DOCS_EACH = 4_000, 1_000
 ROUNDS = 4
 #: Added to the expected count of every piece.
 SMOOTH = 0.02
-#: Longest piece, and longest run of letters scored as one word; longer runs are scored in stretches of that many letters.
-PIECE, RUN = 8, 64
+#: Longest run of letters scored as one word; longer runs are scored in stretches of that many letters, so that sums over
+#: their segmentations stay inside the range of doubles.
+RUN = 64
+#: Words whose segmentations are summed together while fitting.
+FIT_STEP = 20_000
 #: Words that one worker remembers with their scores. Beyond it the memory starts afresh.
 MEMORY = 200_000
-#: Words of a text that count in full; beyond it the evidence grows with the root of their number, so scores don't saturate.
-FULL = 4
 RESULT = "doc_id long, lang_pred string, score double, n_letters long"
 
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -75,52 +75,42 @@ class Model:
     def __reduce__(self):
         return Model, (self.langs, self.pieces, self.probs, self.prior)
 
-    def spans(self, word: str) -> list[tuple[int, int, int]]:
-        """(start, end, piece) of every piece in the word; a character outside the vocabulary is the unknown piece."""
-        out, n, get, unknown = [], len(word), self.pieces.get, len(self.pieces)
-        for start in range(n):
-            known = False
-            for end in range(start + 1, min(n, start + PIECE) + 1):
-                if (i := get(word[start:end])) is not None:
-                    out.append((start, end, i))
-                    known |= end == start + 1
-            if not known:
-                out.append((start, start + 1, unknown))
-        return out
-
-    def words(self, words: list[str]) -> np.ndarray:
-        """Log-probability of each word for each language, summed over its segmentations: all words at once, a step of the
-        forward pass for each distance from a word's start. Probabilities carry a factor of ten a character, so that the
-        sums of the longest word stay inside the range of doubles."""
+    def lattice(self, words: list[str]) -> Lattice:
+        """The segmentations of some words."""
         if self.automaton is None:
             import ahocorasick
 
             self.automaton = ahocorasick.Automaton()
             for piece, i in self.pieces.items():
-                self.automaton.add_word(piece, i << 4 | len(piece))
+                self.automaton.add_word(piece, i << 16 | len(piece))
             self.automaton.make_automaton()
-            self.scaled = self.probs * 10.0 ** np.array([*map(len, self.pieces), 1])[:, None]
         text = "".join(f"▁{w}\n" for w in words)
         lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
-        starts = np.cumsum(lengths + 1) - lengths - 1
-        offset = np.arange(len(text)) - np.repeat(starts, lengths + 1)
+        first = np.cumsum(lengths + 1) - lengths - 1
+        offset = np.arange(len(text)) - np.repeat(first, lengths + 1)
         found = np.fromiter(chain.from_iterable(self.automaton.iter(text)), np.int64).reshape(-1, 2)
-        end, width, piece = found[:, 0] + 1, found[:, 1] & 15, found[:, 1] >> 4
+        end, width, piece = found[:, 0] + 1, found[:, 1] & 0xFFFF, found[:, 1] >> 16
         alone = np.ones(len(text), bool)
-        alone[starts + lengths] = False
+        alone[first + lengths] = False
         alone[end[width == 1] - 1] = False
         unknown = np.flatnonzero(alone)
         start = np.concatenate([end - width, unknown])
         end = np.concatenate([end, unknown + 1])
         piece = np.concatenate([piece, np.full(len(unknown), len(self.pieces))])
         order = np.argsort(offset[start], kind="stable")
-        start, end, piece = start[order], end[order], piece[order]
-        forward = np.zeros((len(text) + 1, len(self.langs)))
-        forward[starts] = 1.0
-        edges = np.searchsorted(offset[start], np.arange(int(lengths.max()) + 1)).tolist()
-        for a, b in zip(edges, [*edges[1:], len(start)], strict=True):
-            forward[end[a:b]] += forward[start[a:b]] * self.scaled[piece[a:b]]
-        return np.log(np.maximum(forward[starts + lengths], 1e-300)) - lengths[:, None] * math.log(10)
+        return Lattice(start[order], end[order], piece[order], offset, first, lengths)
+
+    def scaled(self) -> np.ndarray:
+        """The probabilities with a factor of ten a character, so that the sums of the longest word stay inside the range of
+        doubles."""
+        return self.probs * 10.0 ** np.array([*map(len, self.pieces), 1])[:, None]
+
+    def words(self, words: list[str]) -> np.ndarray:
+        """Log-probability of each word for each language, summed over its segmentations, all words at once."""
+        if not hasattr(self, "held"):
+            self.held = self.scaled()
+        x = self.lattice(words)
+        return np.log(np.maximum(x.forward(self.held)[x.first + x.lengths], 1e-300)) - x.lengths[:, None] * math.log(10)
 
     def texts(self, texts: list[str | None]) -> list[tuple[str, float, int]]:
         """(language, its posterior, letters) of each whole text; ``und`` and 0 without a letter."""
@@ -140,44 +130,75 @@ class Model:
         return [self._best(x) if x else ("und", 0.0, 0) for x in words]
 
     def _best(self, words: list[str]) -> tuple[str, float, int]:
-        total = self.table[np.fromiter(map(self.memory.__getitem__, words), np.int64, len(words))].sum(0)
-        weighed = self.prior + total * min(1.0, math.sqrt(FULL / len(words)))
+        weighed = self.prior + self.table[np.fromiter(map(self.memory.__getitem__, words), np.int64, len(words))].sum(0)
         weighed = np.exp(weighed - weighed.max())
         best = int(np.argmax(weighed))
         return self.langs[best], float(weighed[best] / weighed.sum()), sum(map(len, words))
 
 
-def _expect(model: Model, word: str, weight: float, lang: int, counts: np.ndarray) -> None:
-    """Add the expected pieces of a word to ``counts`` (forward and backward over its segmentations)."""
-    word = "▁" + word
-    spans, n, probs = model.spans(word), len(word), model.probs[:, lang]
-    forward, backward = [0.0] * (n + 1), [0.0] * (n + 1)
-    forward[0] = backward[n] = 1.0
-    values = [float(probs[i]) for _, _, i in spans]
-    for (start, end, _), p in zip(spans, values, strict=True):
-        forward[end] += forward[start] * p
-    for (start, end, _), p in zip(reversed(spans), reversed(values), strict=True):
-        backward[start] += backward[end] * p
-    if forward[n] > 0:
-        for (start, end, i), p in zip(spans, values, strict=True):
-            counts[i, lang] += weight * forward[start] * p * backward[end] / forward[n]
+@dataclass
+class Lattice:
+    """Edges (start, end, piece) of the segmentations of some words laid end to end, by rising distance of the start from its
+    word's start; ``offset`` is that distance for every character, ``first`` and ``lengths`` are a word's place and size."""
+
+    start: np.ndarray
+    end: np.ndarray
+    piece: np.ndarray
+    offset: np.ndarray
+    first: np.ndarray
+    lengths: np.ndarray
+
+    def steps(self, order: np.ndarray) -> list[tuple[int, int]]:
+        """The bounds of the edges of each distance, for the distances of all edges in rising order."""
+        edges = np.searchsorted(order, np.arange(int(self.lengths.max()) + 2 if len(self.lengths) else 1)).tolist()
+        return list(zip(edges, [*edges[1:], len(order)], strict=True))
+
+    def forward(self, probs: np.ndarray) -> np.ndarray:
+        """For each place and language the sum over all ways from the word's start. Edges of one distance end apart."""
+        sums = np.zeros((len(self.offset) + 1, probs.shape[1]))
+        sums[self.first] = 1.0
+        for a, b in self.steps(self.offset[self.start]):
+            sums[self.end[a:b]] += sums[self.start[a:b]] * probs[self.piece[a:b]]
+        return sums
+
+    def backward(self, probs: np.ndarray) -> np.ndarray:
+        """For each place and language the sum over all ways to the word's end."""
+        sums = np.zeros((len(self.offset) + 1, probs.shape[1]))
+        sums[self.first + self.lengths] = 1.0
+        far = self.offset[self.end - 1] + 1
+        order = np.argsort(far, kind="stable")
+        start, end, piece = self.start[order], self.end[order], self.piece[order]
+        for a, b in reversed(self.steps(far[order])):
+            sums[start[a:b]] += sums[end[a:b]] * probs[piece[a:b]]
+        return sums
+
+    def expected(self, probs: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Expected pieces by language, where word w occurs ``weights[w, language]`` times."""
+        forward, backward = self.forward(probs), self.backward(probs)
+        total = forward[self.first + self.lengths]
+        share = np.divide(weights, total, out=np.zeros_like(weights), where=total > 0)
+        word = np.searchsorted(self.first, self.start, side="right") - 1
+        each = forward[self.start] * probs[self.piece] * backward[self.end] * share[word]
+        return np.stack([np.bincount(self.piece, each[:, k], len(probs)) for k in range(probs.shape[1])], axis=1)
 
 
 def fit_counts(counts: dict[str, Counter], docs: Counter, pieces: list[str]) -> Model:
-    """The model of word counts by language. No labelled word gives a model without languages."""
+    """The model of word counts by language, by expectation maximisation over all segmentations of all words. No labelled
+    word gives a model without languages."""
     langs = sorted(counts)
-    index = {p: i for i, p in enumerate(x for x in dict.fromkeys(pieces) if len(x) <= PIECE)}
+    index = {p: i for i, p in enumerate(dict.fromkeys(pieces))}
     total = max(sum(docs.values()), 1)
     prior = np.log(np.array([max(docs[x], 1) / total for x in langs] or [1.0]))
     width = np.array([len(p) for p in index] + [1], float)
     start = (0.03 ** width)[:, None] * np.ones((1, max(len(langs), 1)))
     model = Model(langs, index, start / start.sum(0), prior)
+    words = sorted(set(chain.from_iterable(counts.values())))
     for _ in range(ROUNDS):
-        expected = np.zeros_like(model.probs)
-        for k, x in enumerate(langs):
-            for word, c in counts[x].items():
-                if len(word) <= 24:
-                    _expect(model, word, c, k, expected)
+        expected, probs = np.zeros_like(model.probs), model.scaled()
+        for at in range(0, len(words), FIT_STEP):
+            some = words[at : at + FIT_STEP]
+            weights = np.array([[counts[x][w] for x in langs] for w in some], float)
+            expected += model.lattice(some).expected(probs, weights)
         # A piece that one language lacks keeps the share of all languages, so unseen pieces don't decide.
         shared = expected.sum(1, keepdims=True)
         expected = expected + SMOOTH + 0.001 * shared
@@ -205,7 +226,7 @@ def fit(docs: DataFrame, vocabulary: str | None = None) -> Model:
     """The model of the labelled documents of ``docs`` that aren't held out: a bounded sample by the hash of the id,
     at most ``FIT_DOCS_EACH`` of a language and ``FIT_DOCS`` in all."""
     labelled = docs.where("lang is not null and text is not null").where(~held_out())
-    sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(FIT_DOCS).collect()
+    sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()  # a row for each language
     if not sizes:
         return fit_counts({}, Counter(), [])
     share = min(FIT_DOCS_EACH, max(1, FIT_DOCS // len(sizes)))
@@ -216,7 +237,7 @@ def fit(docs: DataFrame, vocabulary: str | None = None) -> Model:
         .mapInArrow(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     )
     counts: dict[str, Counter] = {lang: Counter() for lang, _ in sizes}
-    for lang, word, n in words.orderBy(F.desc("n"), "lang", "word").limit(FIT_WORDS * len(sizes)).collect():
+    for lang, word, n in zip(*words.toArrow().to_pydict().values(), strict=True):  # the words of at most FIT_DOCS documents
         counts[lang][word] = n
     return fit_counts(counts, Counter(dict(map(tuple, sizes))), pieces_of(vocabulary or tokenizer_path("piece_bpe_32k.model")))
 
@@ -263,6 +284,10 @@ def _filter(key: str, model):
 
 
 def keep_known(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """``docs`` without texts that have no letter or no language of a posterior of ``SURE``; columns and order are kept."""
+    """``docs`` without texts that have no letter or no language of a posterior of ``SURE``.
+
+    A map: columns of any name and their order are kept. A null text goes; a null lang or doc_id is not looked at; equal rows
+    stay or go together; without a labelled row every text goes; an empty table stays empty.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, vocabulary))
     return docs.mapInArrow(_filter(uuid.uuid4().hex, shared), docs.schema)
