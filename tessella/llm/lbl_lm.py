@@ -1,18 +1,21 @@
 """Scoring texts by a log-bilinear neural language model that is trained in numpy by noise-contrastive estimation.
 
-A word's score after the two words before it is (C1 r1 + C2 r2) . q + b. Frequent words of the training documents have
-vectors of their own, the others share one, inside which they keep their share of the counts. The score is a sum of a term
-of each context word, so the normaliser of every pair of contexts is one entry of a product of two matrices, and token
-log-probabilities are exact look-ups.
-
-Training covers every position of every training document: a start on a bounded sample, then each task goes on from it over
-its own documents and the tasks' parameters are averaged by the number of positions that they saw. Counts cover all tokens. Words
-with many occurrences are looked up in a bounded table; the rest meet their counts in a join.
+The model predicts a class after the two words before, and the word inside its class. A class's score is (C1 r1 + C2 r2) . q
++ b. The most frequent words of the training documents are a class each; the others are classed by their ending, so every word
+has a vector, and inside a class a word has its share of the training counts. The score is a sum of a term of each context
+word, so the normaliser of every pair of contexts is one entry of a product of two matrices, and token log-probabilities are
+exact look-ups.
+
+Training covers every position of every training document: a start on a bounded sample of documents, then each task goes on
+from it over its own documents and the tasks' parameters are averaged by the number of positions that they saw. So scores
+depend a little on how the documents are dealt out to tasks; the base scores don't. Counts cover all tokens. Words with many
+occurrences are looked up in a bounded table; the rest meet their counts in a join.
 """
 
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -24,13 +27,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..session import cut
 from .common import slices, worker_state
 
-#: Words with own vectors, and the vectors' length.
-WORDS, SIZE = 2_000, 32
+#: Words that are a class each, classes of the other words, characters of the ending that these go by, the vectors' length.
+OWN, SHARED, ENDING, SIZE = 1_500, 500, 2, 32
 #: Words of the look-up table, at most; longer ones are joined.
 TABLE, TABLE_BYTES = 250_000, 128
-#: Documents of the start, about; their positions at most; passes over them.
-START_DOCS, START_POSITIONS, START_PASSES = 1_500, 400_000, 2
-BATCH, NOISE, RATE, SEED = 512, 64, 0.1, 11
+#: Documents of the start, about; passes over them.
+START_DOCS, START_PASSES = 800, 2
+BATCH, NOISE, RATE, SEED = 1_024, 32, 0.1, 11
 #: Distinct words that a counting task holds before it hands them on.
 HELD = 200_000
 END = "\n"
@@ -42,6 +45,11 @@ def words_of(text: str | None) -> list[str]:
     return [*map(bytes.decode, (text or "").encode().translate(_LOWER).split()), END]
 
 
+def shared_class(word: str) -> int:
+    """The class of a word that has none of its own, from 0 to SHARED - 1."""
+    return zlib.crc32(word[-ENDING:].encode()) % SHARED
+
+
 def held_out() -> Column:
     """Documents that nothing is learned from: crc32 of the id as text, modulo 7, is 2. A null id is as the empty text."""
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2
@@ -107,7 +115,7 @@ class Trainer:
 
     def _step(self, x: np.ndarray, total: np.ndarray, rows: np.ndarray, grad: np.ndarray) -> None:
         """Adagrad on some rows; rows that occur more than once add up."""
-        order = np.argsort(rows, kind="stable")
+        order = np.argsort(rows.astype(np.uint16 if len(x) < 1 << 16 else np.int64), kind="stable")  # of few bits: by radix
         rows, first = np.unique(rows[order], return_index=True)
         grad = np.add.reduceat(grad[order], first, axis=0)
         total[rows] += grad * grad
@@ -157,29 +165,37 @@ def triples_of(classes: list[np.ndarray], start: int) -> np.ndarray:
 
 @dataclass
 class Model:
-    """The look-up table (words by falling count), the parameters and the totals of the training tokens."""
+    """The look-up table (words by falling count), tokens and types of the shared classes, the parameters and the totals of
+    the training tokens."""
 
     words: list[str]
     counts: np.ndarray
+    shared_tokens: np.ndarray
+    shared_types: np.ndarray
     params: Params
     tokens: int
     types: int
 
     def __post_init__(self):
-        self.classes = min(WORDS, len(self.words))  # and one more for the others
+        self.own = min(OWN, len(self.words))
+        self.classes = self.own + SHARED
         self.index: dict[str, int] | None = None
 
     def __reduce__(self):
-        return Model, (self.words, self.counts, self.params, self.tokens, self.types)
+        return Model, (self.words, self.counts, self.shared_tokens, self.shared_types, self.params, self.tokens, self.types)
+
+    def class_counts(self) -> np.ndarray:
+        return np.concatenate([self.counts[: self.own], self.shared_tokens]).astype(float)
 
     def open(self) -> Model:
         """Build what is looked up: the index and the tables of log-probabilities."""
         if self.index is None:
             self.index = {w: i for i, w in enumerate(self.words)}
             self.log_count = np.append(np.log10(self.counts + 1.0), 0.0)
-            # In the others' class a word has (c + 1) of all others' (c + 1), and one share is for all that never occurred.
-            others = self.tokens - int(self.counts[: self.classes].sum()) + self.types - self.classes
-            self.log_others = float(np.log10(others + 1.0))
+            # In a shared class a word has (c + 1) of the class's sum of (c + 1), and one share is for all that never occurred.
+            self.log_shared = np.append(np.zeros(self.own), np.log10(self.shared_tokens + self.shared_types + 1.0))
+            own = np.arange(self.own)
+            self.class_table = np.append(own, [self.own + shared_class(w) for w in self.words[self.own :]]).astype(np.int64)
             self.log_all = float(np.log10(self.tokens + self.types + 1.0))
         return self
 
@@ -197,21 +213,36 @@ class Model:
     def ids(self, words: list[str]) -> np.ndarray:
         """Places in the look-up table; -1 for words outside."""
         get = self.index.get
-        return np.array([get(w, -1) for w in words], np.int64)
+        return np.fromiter((get(w, -1) for w in words), np.int64, len(words))
 
     def token_log10(self, classes: list[np.ndarray]) -> np.ndarray:
         """Log10-probability of every position's class, the texts one after another."""
         self.tables()
-        c1, c2, w = triples_of(classes, self.classes + 1).T
+        c1, c2, w = triples_of(classes, self.classes).T
         return (self.one[c1, w] + self.two[c2, w] - self.log_norm[c1, c2]).astype(np.float64) / np.log(10)
 
-    def class_of(self, ids: np.ndarray) -> np.ndarray:
-        return np.where((ids < 0) | (ids >= self.classes), self.classes, ids)
+    def classes_of(self, words: list[str], ids: np.ndarray) -> np.ndarray:
+        """The class of every word of a text."""
+        found = np.append(self.class_table, 0)[ids]
+        for k in np.flatnonzero(ids < 0).tolist():
+            found[k] = self.own + shared_class(words[k])
+        return found
 
 
-def class_counts(counts: np.ndarray, tokens: int) -> np.ndarray:
-    kept = counts[:WORDS].astype(float)
-    return np.append(kept, max(tokens - kept.sum(), 0))
+def _class_totals(own: frozenset[str]):
+    """For each shared class the tokens and types of some counts (token, n) that aren't a class of their own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, types = np.zeros(SHARED, np.int64), np.zeros(SHARED, np.int64)
+        for batch in batches:
+            for token, n in zip(batch.column("token").to_numpy(zero_copy_only=False), batch.column("n").to_numpy(), strict=True):
+                if token not in own:
+                    k = shared_class(token)
+                    tokens[k] += n
+                    types[k] += 1
+        yield pa.RecordBatch.from_arrays([pa.array(range(SHARED), pa.int32()), pa.array(tokens), pa.array(types)], names=["class", "tokens", "types"])
+
+    return run
 
 
 def _opened(key: str, shared) -> Model:
@@ -225,11 +256,10 @@ def _train(key: str, shared):
         model = _opened(key, shared)
         p = model.params
         mine = Params(p.R.copy(), p.C.copy(), p.Q.copy(), p.b.copy())
-        trainer = Trainer(mine, class_counts(model.counts, model.tokens), SEED + TaskContext.get().partitionId())
+        trainer = Trainer(mine, model.class_counts(), SEED + TaskContext.get().partitionId())
         for batch in slices(batches):
-            classes = [model.class_of(model.ids(words_of(x))) for x in batch.column("text").to_pylist()]
-            triples = triples_of(classes, model.classes + 1)
-            trainer.run(triples)
+            texts = [words_of(x) for x in batch.column("text").to_pylist()]
+            trainer.run(triples_of([model.classes_of(x, model.ids(x)) for x in texts], model.classes))
         if trainer.seen:
             rows = mine.flat()
             values = pa.FixedSizeListArray.from_arrays(pa.array(rows.ravel()), SIZE).cast(pa.list_(pa.float32()))
@@ -242,7 +272,8 @@ def _classes(key: str, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _opened(key, shared)
         for batch in slices(batches):
-            ids = [model.class_of(model.ids(words_of(x))).astype("<i4").tobytes() for x in batch.column("text").to_pylist()]
+            texts = [words_of(x) for x in batch.column("text").to_pylist()]
+            ids = [model.classes_of(x, model.ids(x)).astype("<i4").tobytes() for x in texts]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary())], names=["ids"])
 
     return run
@@ -266,18 +297,22 @@ def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
     table = counts.where(short & (step >= floor)).toArrow().to_pydict() if floor is not None else {"token": [], "n": []}
     order = sorted(range(len(table["n"])), key=lambda i: (-table["n"][i], table["token"][i]))
     words, n = [table["token"][i] for i in order], np.array([table["n"][i] for i in order], np.int64)
-    classes = class_counts(n, total[0])
-    model = Model(words, n, first_params(classes), *map(int, total))
+    totals = counts.mapInArrow(_class_totals(frozenset(words[:OWN])), "class int, tokens long, types long").groupBy("class").agg(F.sum("tokens"), F.sum("types")).collect()
+    sums = np.zeros((2, SHARED), np.int64)
+    for k, a, b in totals:
+        sums[:, k] = a, b
+    model = Model(words, n, *sums, None, *map(int, total))
+    classes = model.class_counts()
+    model.params = first_params(classes)
     if not words:
         return model, counts
     rate = min(1.0, START_DOCS / max(int(n[words.index(END)]) if END in words else 1, 1))
     sample = training.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int(rate * (1 << 30)))
     opened = spark.sparkContext.broadcast(model)  # bounded by TABLE words and the parameters
     texts = [np.frombuffer(r[0], "<i4").astype(np.int64) for r in sample.mapInArrow(_classes(uuid.uuid4().hex, opened), "ids binary").collect()]
-    triples = triples_of(texts, model.classes + 1)
     trainer = Trainer(model.params, classes)
     for _ in range(START_PASSES):
-        trainer.run(triples[trainer.rng.permutation(len(triples))[:START_POSITIONS]])
+        trainer.run(triples_of(texts, model.classes))
     shared = spark.sparkContext.broadcast(model)
     tuned = training.mapInArrow(_train(uuid.uuid4().hex, shared), "row int, seen long, v array<float>")
     mean = [(F.sum(F.col("v")[k] * F.col("seen")) / F.sum("seen")).alias(f"v{k}") for k in range(SIZE)]
@@ -305,9 +340,10 @@ def _score(key: str, shared):
             rest = [[{"token": t, "n": n} for t, n in Counter(w for w, i in zip(x, y.tolist(), strict=True) if i < 0).items()] if (y < 0).any() else [] for x, y in zip(texts, ids, strict=True)]
             every = np.concatenate(ids)
             at = np.cumsum([0, *(len(x) for x in ids[:-1])])
-            outside = (every < 0) | (every >= model.classes)
+            outside = (every < 0) | (every >= model.own)
             base = model.log_count[every]  # -1 is the last entry, which is zero
-            lm = model.token_log10([model.class_of(x) for x in ids]) + np.where(outside, base - model.log_others, 0)
+            classes = [model.classes_of(x, y) for x, y in zip(texts, ids, strict=True)]
+            lm = model.token_log10(classes) + np.where(outside, base - model.log_shared[np.concatenate(classes)], 0)
             sums = [np.add.reduceat(x, at) for x in (np.ones(len(every), np.int64), (every >= 0).astype(np.int64), base, lm, outside.astype(np.int64))]
             rows = pa.array(range(row, row + len(texts)), pa.int64())
             row += len(texts)
