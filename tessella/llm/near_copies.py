@@ -1,8 +1,9 @@
 """Near copies: texts whose sets of five-word shingles have a Jaccard similarity of at least 0.8, exact.
 
-Equal sets are one class. Two steps find links between classes, and every link is verified on the whole sets. First each
-member of a MinHash band meets the band's smallest, which joins most of a group at a cost linear in its size. Then prefix
-filtering finds the rest: under any one order of all shingles, two sets of that similarity share one of the first
+Equal sets are one class. Two steps find links between classes, and every link is verified on the whole sets. First the
+SimHash fingerprints of the sets are linked by the pigeonring search of :mod:`simhash`, which joins most of a group at a cost
+linear in its size. Fingerprints of a pair of that similarity may differ in more bits than that search can look for, so
+prefix filtering finds the rest: under any one order of all shingles, two sets of that similarity share one of the first
 ``n - ceil(0.8 n) + 1`` of each, and the first shared one leaves room for enough others. Only classes that the first step
 hasn't joined meet there, so what it missed is found and a group of near copies isn't compared pair by pair. Shingles that
 a sample finds common come last in the order; the sample decides on cost alone and not on results.
@@ -19,11 +20,10 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from ..operators.components import connected_components
 from ..session import cut, shuffle_width
 from .common import slices
+from .simhash import link_edges, majority
 
 #: Words of a shingle; similarity that links, as a fraction.
 WIDTH, OVER, UNDER = 5, 4, 5
-#: MinHash bands of the first step, and functions of a band.
-BANDS, ROWS = 8, 4
 #: Documents of the sample that finds common shingles, about; times that one is seen in it at least; the most that are kept.
 SAMPLE_DOCS, COMMON_TIMES, COMMON = 10_000, 3, 200_000
 #: Words whose hashes a task remembers.
@@ -32,7 +32,6 @@ HELD_WORDS = 500_000
 KEY = "__near_key"
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _RNG = np.random.default_rng(17)
-_DRAWS = _RNG.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACES = _RNG.integers(1, 2**63, WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -82,20 +81,11 @@ def _signed(values) -> pa.Array:
     return pa.array(np.array(values, np.uint64).view(np.int64))
 
 
-def _bands(found: np.ndarray) -> np.ndarray:
-    least = np.array([_mixed(found * a).min() for a in _DRAWS], np.uint64).reshape(BANDS, ROWS)
-    mixed = np.arange(BANDS, dtype=np.uint64)
-    for k in range(ROWS):
-        mixed = _mixed(mixed * _PLACES[0] + least[:, k])
-    return mixed
-
-
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     memo = _Words()
     for batch in slices(batches):
         sets = [shingle_set(x, memo) for x in batch.column("text").to_pylist()]
-        bands = [_bands(x).view(np.int64) for x in sets]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), _signed([set_key(x) for x in sets]), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "key", "bands"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), _signed([set_key(x) for x in sets]), pa.array([majority(x) for x in sets], pa.int64())], names=["doc_id", "key", "fp"])
 
 
 def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,11 +182,14 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame
     return cut(pairs.join(left, "lo").join(right, "hi").select("lo", "hi", "h1", "h2").mapInArrow(_verified, "lo long, hi long"), "near-links")
 
 
-def band_pairs(classes: DataFrame) -> DataFrame:
-    """(lo, hi): each class with the smallest of each of its bands."""
-    spread = classes.select("key", F.explode("bands").alias("band"))
-    least = cut(spread.groupBy("band").agg(F.min("key").alias("lo"), F.count("*").alias("n")).where("n > 1").drop("n"), "near-bands")
-    return cut(spread.join(least, "band").where("lo <> key").select("lo", F.col("key").alias("hi")).distinct(), "near-band-pairs")
+def fingerprint_pairs(classes: DataFrame) -> DataFrame:
+    """(lo, hi): the classes of a fingerprint with its first, and the firsts of fingerprints that the pigeonring search links."""
+    first = cut(classes.groupBy("fp").agg(F.min("key").alias("first")), "near-fps")
+    same = classes.join(first, "fp").where("first <> key").select(F.col("first").alias("lo"), F.col("key").alias("hi"))
+    edges = cut(link_edges(first.select("fp")), "near-fp-edges")
+    one, two = first.select(F.col("fp").alias("a"), F.col("first").alias("k1")), first.select(F.col("fp").alias("b"), F.col("first").alias("k2"))
+    near = edges.join(one, "a").join(two, "b").select(F.least("k1", "k2").alias("lo"), F.greatest("k1", "k2").alias("hi"))
+    return cut(same.union(near).distinct(), "near-fp-pairs")
 
 
 def common_shingles(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -225,10 +218,10 @@ def prefix_pairs(docs: DataFrame, classes: DataFrame, joined: DataFrame, n: int)
 
 def near_classes(docs: DataFrame) -> DataFrame:
     """key (of a set of shingles), gone and id (of the class's first document) and root (the same for linked classes)."""
-    keyed = cut(docs.select("doc_id", "text").mapInArrow(_keyed, "doc_id long, key long, bands array<long>"), "near-keys")
+    keyed = cut(docs.select("doc_id", "text").mapInArrow(_keyed, "doc_id long, key long, fp long"), "near-keys")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("gone"), F.coalesce("doc_id", F.lit(0)).alias("id"))).alias("x")
-    classes = cut(keyed.groupBy("key").agg(least, F.first("bands").alias("bands")).select("key", "x.gone", "x.id", "bands"), "near-classes")
-    first = verified(docs, classes, band_pairs(classes))
+    classes = cut(keyed.groupBy("key").agg(least, F.first("fp").alias("fp")).select("key", "x.gone", "x.id", "fp"), "near-classes")
+    first = verified(docs, classes, fingerprint_pairs(classes))
     joined = connected_components(first, "lo", "hi")
     second = verified(docs, classes, prefix_pairs(docs, classes, joined, keyed.count()))
     linked = connected_components(first.union(second), "lo", "hi")

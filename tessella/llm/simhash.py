@@ -4,8 +4,9 @@ The 64 bits stand in a ring of four segments. If two fingerprints differ in at m
 consecutive segments keeps within its share of the budget at every length: no bit in its first segment, at most one in
 the first two, at most two in the first three. The first segment and, because the second holds one differing bit at most,
 one half of the second agree exactly; these 24 bits are the key of a candidate's bucket. Inside a bucket the rest of the
-chain is tested before the full distance. Equal fingerprints are one class from the start, a bucket sends out a spanning
-forest and not its pairs, and a large bucket is dealt out as pairs of blocks, so nothing grows with the square of a group.
+chain is tested before the full distance. Equal fingerprints are one class from the start, and a bucket sends out a spanning
+forest and not its pairs. A bucket of more than ``BLOCK`` distinct fingerprints is dealt out as pairs of blocks, each to a
+task of its own: its n fingerprints are copied n / ``BLOCK`` times.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
 
 from ..operators.components import connected_components
 from ..session import cut, shuffle_width
@@ -41,9 +42,13 @@ def fingerprint(text: str | None, width: int = 3) -> int:
         stops = (ends[width - 1 :] - 1).tolist()
         digest, view = xxhash.xxh64_intdigest, memoryview(joined)
         hashes = np.fromiter((digest(view[a:b], 42) for a, b in zip(starts, stops, strict=True)), "<u8", len(stops))
+    return majority(hashes)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of some 64-bit hashes, as a signed number."""
     set_bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = np.packbits(set_bits * 2 > len(hashes), bitorder="little")
-    return int(bits.view("<i8")[0])
+    return int(np.packbits(set_bits * 2 > len(hashes), bitorder="little").view("<i8")[0])
 
 
 def _fingerprints(width: int):
@@ -206,34 +211,3 @@ def simhash_digest(docs: DataFrame) -> DataFrame:
     """The columns that the op4 query returns."""
     found = simhash_components(docs)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def _with_fingerprint(width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            found = pa.array([fingerprint(x, width) for x in batch.column("text").to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, FP])
-
-    return run
-
-
-#: Name of the passing fingerprint column, which no table should have.
-FP = "__simhash_fp"
-
-
-def keep_one_of_each(docs: DataFrame, width: int = 3) -> DataFrame:
-    """``docs`` with one row of every component: of the smallest doc_id, and of those rows of the smallest fingerprint.
-
-    Rows with a null id are last in that order, so they stay only where their whole component has none; of rows with equal
-    id and fingerprint one stays. Columns and their order are kept.
-    """
-    found = simhash_components(docs, width)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("gone"), F.coalesce("doc_id", F.lit(0)).alias("id"), "fp"))
-    # The component is named by its smallest id, or where all ids are null by its fingerprint's class.
-    name = F.when(F.col("component_id").isNull(), F.col("fp")).alias("unnamed")
-    chosen = found.groupBy("component_id", name).agg(first.alias("x")).select(F.col("x.gone").alias("k_gone"), F.col("x.id").alias("k_id"), F.col("x.fp").alias("k_fp"))
-    chosen = cut(chosen, "simhash-kept")
-    schema = T.StructType([*docs.schema.fields, T.StructField(FP, T.LongType())])
-    marked = docs.mapInArrow(_with_fingerprint(width), schema).withColumn("__gone", F.col("doc_id").isNull()).withColumn("__id", F.coalesce("doc_id", F.lit(0).cast("long")))
-    met = marked.join(chosen, (marked["__gone"] == chosen["k_gone"]) & (marked["__id"] == chosen["k_id"]) & (marked[FP] == chosen["k_fp"]), "left_semi")
-    return met.dropDuplicates(["__gone", "__id", FP]).select(*docs.columns)

@@ -155,8 +155,6 @@ def test_simhash_on_odd_tables(spark, odd, empty):
     assert len(got) == odd.count() and all(len(r.fingerprint) == 16 for r in got)
     zero = [r for r in got if r.fingerprint == "0" * 16]
     assert {r.component_id for r in zero} == {0} and simhash.simhash_digest(empty).count() == 0
-    kept = simhash.keep_one_of_each(odd)
-    assert kept.columns == odd.columns and kept.where("doc_id = 3").count() == 1 and kept.count() == len({r.component_id for r in got})
 
 
 def test_hilbert_curve_steps_by_one():
@@ -269,7 +267,10 @@ def test_language_model(spark, odd, empty):
 
 def test_language_model_is_normalised():
     counts = np.array([50, 20, 5])
-    model = lbl_lm.Model(["a", "b", "\n"], counts, lbl_lm.first_params(lbl_lm.class_counts(counts, 80)), 80, 6).open()
+    shared = np.zeros(lbl_lm.SHARED, np.int64)
+    shared[lbl_lm.shared_class("rare")] = 5
+    model = lbl_lm.Model(["a", "b", "\n"], counts, shared, (shared > 0) * 3, None, 80, 6).open()
+    model.params = lbl_lm.first_params(model.class_counts())
     model.tables()
     p = np.exp(model.one[:, None, :] + model.two[None] - model.log_norm[..., None])
     assert np.allclose(p.sum(-1), 1, atol=1e-5)
