@@ -8,6 +8,7 @@ itself. Blocks decode on their own, so a reader needs no neighbour.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -16,15 +17,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..session import shared_dir, shuffle_width
-from .common import slices, strings, tokenizer_path, worker_state
+from .bpe_codec import byte_symbols
+from .common import Memory, byte_slices, listed, parted, slices, strings, tokenizer_path, worker_state
 from .simple8b import pack, unpack
 
 BLOCK_IDS = 32_768
-#: Texts cut at spaces that one worker remembers with their ids. Beyond it the memory starts afresh.
-MEMORY = 1_000_000
+#: Texts cut at spaces that one worker remembers with their ids, by generation.
+MEMORY = 500_000
 
 BLOCKS = T.StructType(
     [
@@ -42,20 +45,24 @@ ROWS = "part int, doc_id long, part_start long, n_tokens long, ids_crc32 long"
 
 _RAGGED_SPACE = re.compile(r" (?=\s|\Z)")
 _SPACE = re.compile(r" (?=\S)")
-#: Marks that a tokenizer of this family parts from a letter before them.
-_MARKS = ".,;:!?|*$%&#"
+#: How byte-level tokenizers of this family part a text, for texts of nothing but these letters, ASCII
+#: digits, visible ASCII marks, space and line feed. Other texts are parted by the library.
+_LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u017f"
+_PLAIN = re.compile(rf"[\n\x20-\x7e{_LETTERS}]*+")
+_WORDS = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTERS}]+| ?[0-9]+| ?[^ \n0-9{_LETTERS}]+|[ \n]+(?![^ \n])|[ \n]+")
 
 
-def _parts(piece: str) -> tuple[str, ...]:
-    stem = piece.rstrip(_MARKS)
-    return (stem, piece[len(stem) :]) if len(stem) < len(piece) and stem[-1:].isalpha() else (piece,)
+#: Marks that stay one word of their own after letters.
+_MARKS = ".,;:!?|*$%&#"
 
 
 class PieceEncoder:
-    """Ids of whole texts from the tokenizers library, which is asked once for each piece between spaces.
+    """Ids of whole texts from the tokenizers library, which is asked once for each word.
 
     A byte-level tokenizer of this family never joins across a space that precedes a character other than white space,
-    so the ids of a text are the ids of its pieces, joined. Texts that hold a special token go to the library whole.
+    so the ids of a text are the ids of its pieces between spaces, joined. A piece of plain characters is parted into the
+    tokenizer's words here and the library's model is asked for each word; other pieces go through the whole library, as
+    do texts that hold a special token.
     """
 
     def __init__(self, path: str, memory: int = MEMORY):
@@ -64,47 +71,69 @@ class PieceEncoder:
 
         self.library = Tokenizer.from_file(path)
         model = self.library.model
-        model._resize_cache(0)  # pieces are remembered here, so the library need not
+        model._resize_cache(0)  # words are remembered here, so the library need not
         self.library.model = model
         self.library.no_truncation()
         self.library.no_padding()
+        self.tokenize = self.library.model.tokenize
         self.special = re.compile("|".join(re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()) or r"(?!)")
-        self.memory = memory
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
-        self.stems: dict[str, bytes] = {}
-
-    def _ask(self, texts: list[str]) -> list[bytes]:
-        return [array("I", x.ids).tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, known: dict[str, bytes], missing: list[str], space: str) -> None:
-        """A piece that ends in marks after a letter is two of the tokenizer's own pieces; their halves are shared more often."""
-        if len(known) + len(missing) > self.memory:
-            known.clear()
-        halves = [(x, *_parts(space + x)) for x in missing]
-        new = list({h for x, *parts in halves for h in parts if h not in self.stems})
-        if len(self.stems) + len(new) > self.memory:
-            self.stems.clear()
-            new = list({h for x, *parts in halves for h in parts})
-        self.stems.update(zip(new, self._ask(new), strict=True))
-        stems = self.stems
-        for x, *parts in halves:
-            known[x] = b"".join([stems[h] for h in parts])
-
-    def _join(self, known: dict[str, bytes], pieces: list[str], space: str) -> bytes:
-        try:
-            return b"".join(map(known.__getitem__, pieces))
-        except KeyError:
-            self._learn(known, [x for x in set(pieces) if x not in known], space)
-            if len(missing := [x for x in set(pieces) if x not in known]):  # the memory started afresh in between
-                self._learn(known, missing, space)
-            return b"".join(map(known.__getitem__, pieces))
+        self.symbols = dict(enumerate(byte_symbols()))
+        with open(path, encoding="utf-8") as f:
+            data = json.load(f)
+        steps = data["pre_tokenizer"] or {}
+        #: Only a tokenizer that does nothing but byte-level parting is taken apart here.
+        self.plain = data["normalizer"] is None and steps.get("type") == "ByteLevel" and not steps.get("add_prefix_space") and steps.get("use_regex", True)
+        self.first, self.later = Memory(lambda x: self._learn(x, ""), memory), Memory(lambda x: self._learn(x, " "), memory)
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        return array("I", [x.id for x in self.tokenize(word.encode().decode("latin-1").translate(self.symbols))]).tobytes()
+
+    def _learn(self, piece: str, space: str) -> bytes:
+        """The ids of a piece. Its words are remembered too, those that begin with the piece's space among the later ones."""
+        if self.plain and piece.isalpha() and piece.isascii():  # most are
+            return array("I", [x.id for x in self.tokenize((self.symbols[32] if space else "") + piece)]).tobytes()
+        if not self.plain or not (piece.isascii() and piece.isprintable() or _PLAIN.fullmatch(piece)):
+            return self._whole(space + piece)
+        words = _WORDS.findall(space + piece)
+        if len(words) < 2:
+            return self._word(words[0]) if words else b""
+        first = self.first
+        head = self.later[words[0][1:]] if space and len(words[0]) > 1 else self._word(words[0])
+        return head + b"".join([first[x] if x[0] != " " else self._word(x) for x in words[1:]])
 
     def encode(self, text: str) -> np.ndarray:
+        """Ids of one whole text."""
         if self.special.search(text):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
-        head, *rest = _SPACE.split(text) if _RAGGED_SPACE.search(text) else text.split(" ")
-        return np.frombuffer(self._join(self.first, [head], "") + self._join(self.later, rest, " "), "<u4")
+            return np.frombuffer(self._whole(text), "<u4")
+        head, *rest = _SPACE.split(text)
+        return np.frombuffer(self.first[head] + b"".join(map(self.later.__getitem__, rest)), "<u4")
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of some whole texts; each distinct piece of theirs is looked up once."""
+        odd = [bool(self.special.search(x) or _RAGGED_SPACE.search(x)) for x in texts]
+        pieces, places, starts = parted([x for x, o in zip(texts, odd, strict=True) if not o])
+        heads = starts[:-1]  # the first piece of a text follows no space
+        keys, marked = pieces, np.zeros(0, np.int64)
+        if self.plain:  # marks after a letter or digit are a word of their own, so the parts of such a piece are remembered
+            stems = pc.utf8_rtrim(pieces, _MARKS)
+            parts = pc.and_(pc.not_equal(pc.binary_length(pieces), pc.binary_length(stems)), pc.match_substring_regex(stems, rf"[0-9{_LETTERS}]\z"))
+            keys, marked = pc.if_else(parts, stems, pieces), np.flatnonzero(parts.to_numpy(zero_copy_only=False))
+        keys, first = listed(keys), self.first
+        found = [*map(self.later.__getitem__, keys), *map(first.__getitem__, listed(pieces.take(pa.array(places[heads]))))]
+        for k, whole in zip(marked.tolist(), listed(pieces.take(pa.array(marked))), strict=True):
+            found[k] += first[whole[len(keys[k]) :]]
+        places = places.copy()
+        places[heads] = len(pieces) + np.arange(len(heads))
+        sizes = np.fromiter(map(len, found), np.int32, len(found)) // 4
+        at = np.cumsum(sizes, dtype=np.int32) - sizes
+        n = sizes[places]
+        ends = np.cumsum(n, dtype=np.int64)
+        ids = np.frombuffer(b"".join(found), "<u4")[np.repeat(at[places] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
+        plain = iter(np.split(ids, ends[starts[1:-1] - 1])) if len(heads) else iter(())
+        return [self.encode(x) if o else next(plain) for x, o in zip(texts, odd, strict=True)]
 
 
 def encoder(path: str) -> PieceEncoder:
@@ -134,9 +163,9 @@ def _write_blocks(path: str, end_id: int):
             held.clear()
             return pa.RecordBatch.from_pylist([row], schema=_arrow_blocks())
 
-        for batch in slices(batches):
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), strings(batch, "text"), strict=True):
-                ids = np.append(coder.encode(text), np.uint32(end_id))
+        for batch in byte_slices(batches, "text"):
+            for doc_id, found in zip(batch.column("doc_id").to_pylist(), coder.encode_all(strings(batch, "text")), strict=True):
+                ids = np.append(found, np.uint32(end_id))
                 if held and size + len(ids) > BLOCK_IDS:
                     yield close()
                 docs.append(doc_id)
