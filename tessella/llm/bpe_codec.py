@@ -12,21 +12,26 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import slices, strings, tokenizer_path, worker_state
+from .common import Memory, byte_slices, listed, parted, strings, tokenizer_path, worker_state
 
-#: Pieces between spaces that one worker remembers with their ids. Beyond it the memory starts afresh.
-MEMORY = 400_000
+#: Words, and pieces between spaces that aren't one word, that one worker remembers, by generation.
+MEMORY = 160_000
 #: Stands for the mark of a word's end inside the automaton; no byte maps to it.
 _END = "\n"
-#: Pieces that hold nothing but these need no Unicode rules.
-_ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
-_OTHER_SPACE = str.maketrans("\t\n\v\f\r", "     ")
+#: The words of a piece, as the tokenizer's own pattern has them, for pieces of nothing but these characters.
+_LATIN = re.compile(r"[!-~\xc0-\xd6\xd8-\xf6\xf8-\xff\u0152\u0153]+")
+_LATIN_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff\u0153]+|[0-9]|[^a-z0-9\xdf-\xf6\xf8-\xff\u0153]+")
+_SPACES = re.compile(r"[ \t\n\v\f\r]+")
 
+#: The ids of a piece as unsigned 32-bit integers, the same in decimal, and the tokens' names, both joined by spaces.
+Coded = tuple[bytes, str, str]
 DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -54,7 +59,7 @@ class PrefixBpe:
         self.names = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.ends = bool(suffix)
-        self.controls = dict(enumerate(byte_symbols()[:128]))
+        self.symbols = dict(enumerate(byte_symbols()))
         self.pairs: dict[tuple[int, int], int] = {}
         made: dict[int, tuple[int, int, int]] = {}
         for rank, merge in enumerate(model["merges"]):
@@ -75,8 +80,8 @@ class PrefixBpe:
                 self.automaton.add_word(text, (len(text), i))
         self.automaton.make_automaton()
         self.memory = memory
-        self.words: dict[str, list[int]] = {}
-        self.known: dict[str, str] = {"": ""}
+        self.words = Memory(lambda x: self._coded(self.encode_word(x)), memory)
+        self.pieces = Memory(self._piece, memory)
 
     @staticmethod
     def _spine(made: dict[int, tuple[int, int, int]], token: int, side: int) -> list[tuple[int, float]]:
@@ -109,30 +114,34 @@ class PrefixBpe:
                 i += 1
             else:
                 j += 1
-        if len(self.fits) > self.memory:
+        if len(self.fits) > 4 * self.memory:
             self.fits.clear()
         self.fits[key] = apart
         return apart
 
     def encode_word(self, word: str) -> list[int]:
-        """Ids of one pre-tokenized word, in the characters that stand for its bytes."""
+        """Ids of one pre-tokenized word, in the characters that stand for its bytes. ValueError if the vocabulary lacks one
+        of them, which can't happen where it has all bytes."""
         n = len(word)
         if not n:
             return []
         text = word + _END if self.ends else word
-        total = len(text)
-        last: list[int] = [-1] * (total + 1)
-        back = [0] * (total + 1)
-        reached = [False] * (total + 1)
-        reached[0] = True
+        total, fits = len(text), self.fits
+        last, back = [-1] * (total + 1), [0] * (total + 1)
         for end, (width, token) in self.automaton.iter(text):
             end += 1
-            if reached[end] or (self.ends and end == n):
+            if last[end] >= 0 or (self.ends and end == n):
                 continue
             start = end - width
-            if reached[start] and (start == 0 or self.compatible(last[start], token)):
-                reached[end], last[end], back[end] = True, token, start
-        if not reached[total]:
+            if start:
+                if (before := last[start]) < 0:
+                    continue
+                if (fit := fits.get(before << 20 | token)) is None:
+                    fit = self.compatible(before, token)
+                if not fit:
+                    continue
+            last[end], back[end] = token, start
+        if last[total] < 0:
             raise ValueError(f"no encoding for {word!r}")
         out, at = [], total
         while at:
@@ -140,52 +149,57 @@ class PrefixBpe:
             at = back[at]
         return out[::-1]
 
-    def _pieces(self, piece: str) -> list[str]:
+    def _coded(self, ids: list[int]) -> Coded:
+        return array("I", ids).tobytes(), " ".join(map(str, ids)), " ".join([self.names[i] for i in ids])
+
+    @staticmethod
+    def _joined(parts: list[Coded]) -> Coded:
+        parts = [x for x in parts if x[0]]
+        return b"".join([x[0] for x in parts]), " ".join([x[1] for x in parts]), " ".join([x[2] for x in parts])
+
+    def _piece(self, piece: str) -> Coded:
+        """A piece without ASCII white space: its words, one after another."""
+        if piece.isascii() and piece.isprintable():
+            found = _LATIN_WORDS.findall(piece.lower())
+        elif _LATIN.fullmatch(piece):
+            found = [x.encode().decode("latin-1").translate(self.symbols) for x in _LATIN_WORDS.findall(piece.lower())]
+        else:
+            found = [x for x, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(piece))]
+        return self.words[found[0]] if len(found) == 1 else self._joined([self.words[x] for x in found])
+
+    def _entry(self, piece: str) -> Coded:
         if piece.isascii():
-            found = _ASCII_WORDS.findall(piece.lower())
-            return found if piece.isprintable() else [x.translate(self.controls) for x in found]
-        parts = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(piece))
-        return [x for x, _ in parts]
-
-    def _learn(self, pieces: list[str]) -> None:
-        if len(self.known) + len(pieces) > self.memory:
-            self.known = {"": ""}
-        words = self.words
-        for piece in pieces:
-            ids: list[int] = []
-            for word in self._pieces(piece):
-                if (found := words.get(word)) is None:
-                    if len(words) > self.memory:
-                        words.clear()
-                    found = words[word] = self.encode_word(word)
-                ids += found
-            self.known[piece] = " ".join(map(str, ids))
-
-    def _plain(self, text: str) -> list[str]:
-        pieces = text.translate(_OTHER_SPACE).split(" ")
-        try:
-            return list(map(self.known.__getitem__, pieces))
-        except KeyError:
-            mine = {*pieces}
-            self._learn([x for x in mine if x not in self.known])
-            if missing := [x for x in mine if x not in self.known]:  # the memory started afresh in between
-                self._learn(missing)
-            return list(map(self.known.__getitem__, pieces))
+            low = piece.lower()
+            if low.isalpha():
+                return self.words[low]
+            stem = low.rstrip(".,;:!?|*$%&#")
+            if stem.isalpha():
+                one, two = self.words[stem], self.words[low[len(stem) :]]
+                return one[0] + two[0], f"{one[1]} {two[1]}", f"{one[2]} {two[2]}"
+        return self.pieces[piece]
+
+    def encode_all(self, texts: list[str]) -> tuple[list[Coded], np.ndarray, np.ndarray]:
+        """The distinct pieces of some whole texts, coded, the place of each piece that has a token among them, and where a
+        text's pieces start (one more entry than texts)."""
+        odd = {k: x for k, x in enumerate(texts) if self.split is not None and self.split.search(x)}
+        pieces, places, starts = parted(["" if k in odd else x for k, x in enumerate(texts)], white=True)
+        entries = [self._entry(x) for x in listed(pieces)]
+        places = places.copy()
+        for k, x in odd.items():  # a text with special tokens is a piece of its own
+            parts = [self._coded([self.special[y]]) if y in self.special else self._entry(z) for y in self.split.split(x) for z in ([y] if y in self.special else _SPACES.split(y))]
+            places[starts[k]] = len(entries)
+            entries.append(self._joined(parts))
+        full = np.fromiter((len(x[0]) > 0 for x in entries), bool, len(entries))[places]
+        return entries, places[full], np.append(0, np.cumsum(full))[starts]
 
     def encode(self, text: str) -> list[str]:
         """Ids of a whole text in decimal."""
-        if self.split is None or not self.split.search(text):
-            found = self._plain(text)
-        else:
-            found = [x for part in self.split.split(text) for x in ([str(self.special[part])] if part in self.special else self._plain(part))]
-        joined = " ".join(filter(None, found))
-        return joined.split(" ") if joined else []
+        entries, places, _ = self.encode_all([text])
+        return [x for k in places.tolist() for x in entries[k][1].split(" ")]
 
     def decode(self, ids: list[str]) -> str:
         """The tokens' names joined by a space, as for a file without a decoder."""
-        if not hasattr(self, "by_text"):
-            self.by_text = {str(i): t for i, t in self.names.items()}
-        return " ".join(map(self.by_text.__getitem__, ids))
+        return " ".join([self.names[int(i)] for i in ids])
 
 
 def codec(path: str) -> PrefixBpe:
@@ -195,16 +209,16 @@ def codec(path: str) -> PrefixBpe:
 
 def _digest(path: str):
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = codec(path)
-        for batch in slices(batches):
-            counts, ids_sha, text_sha = [], [], []
-            for text in strings(batch, "text"):
-                ids = coder.encode(text)
-                counts.append(len(ids))
-                ids_sha.append(hashlib.sha256(" ".join(ids).encode()).hexdigest())
-                text_sha.append(hashlib.sha256(coder.decode(ids).encode()).hexdigest())
+        coder, sha = codec(path), hashlib.sha256
+        for batch in byte_slices(batches, "text"):
+            entries, places, starts = coder.encode_all(strings(batch, "text"))
+            ids, names = [x[1] for x in entries], [x[2] for x in entries]
+            tokens = np.append(0, np.cumsum(np.fromiter((len(x[0]) // 4 for x in entries), np.int64, len(entries))[places]))[starts]
+            texts = [places[a:b].tolist() for a, b in zip(starts.tolist(), starts[1:].tolist(), strict=False)]
+            ids_sha = [sha(" ".join(map(ids.__getitem__, x)).encode()).hexdigest() for x in texts]
+            text_sha = [sha(" ".join(map(names.__getitem__, x)).encode()).hexdigest() for x in texts]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())],
+                [batch.column("doc_id").cast(pa.int64()), pa.array(np.diff(tokens), pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
@@ -214,12 +228,15 @@ def _digest(path: str):
 def _codes(path: str):
     def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(path)
-        for batch in slices(batches, 64):
-            ids = [coder.encode(text) for text in strings(batch, "text")]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), pa.array([[*map(int, x)] for x in ids], pa.list_(pa.int32())), pa.array([coder.decode(x) for x in ids], pa.string())],
-                names=["doc_id", "ids", "decoded"],
-            )
+        for batch in byte_slices(batches, "text"):
+            entries, places, starts = coder.encode_all(strings(batch, "text"))
+            ids, names = [x[0] for x in entries], [x[2] for x in entries]
+            texts = [places[a:b].tolist() for a, b in zip(starts.tolist(), starts[1:].tolist(), strict=False)]
+            found = [b"".join(map(ids.__getitem__, x)) for x in texts]
+            ends = np.append(0, np.cumsum([len(x) // 4 for x in found])).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), "<i4")))
+            decoded = pa.array([" ".join(map(names.__getitem__, x)) for x in texts], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), lists, decoded], names=["doc_id", "ids", "decoded"])
 
     return codes
 
