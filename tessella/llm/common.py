@@ -100,3 +100,8 @@ def worker_state(key: str, make: Callable[[], T]) -> T:
         _STATE.clear()
         _STATE[key] = make()
     return _STATE[key]
+
+
+def no_state() -> None:
+    """Let go of what the worker keeps: for operators that keep nothing."""
+    worker_state("", lambda: None)

@@ -19,13 +19,14 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import cut
-from .common import slices, worker_state
+from .common import Memory, slices, worker_state
 
 #: Words that are a class each, classes of the other words, characters of the ending that these go by, the vectors' length.
 OWN, SHARED, ENDING, SIZE = 1_500, 500, 2, 32
@@ -33,16 +34,20 @@ OWN, SHARED, ENDING, SIZE = 1_500, 500, 2, 32
 TABLE, TABLE_BYTES = 250_000, 128
 #: Documents of the start, about; passes over them.
 START_DOCS, START_PASSES = 800, 2
-BATCH, NOISE, RATE, SEED = 1_024, 32, 0.1, 11
+BATCH, NOISE, RATE, SEED = 2_048, 32, 0.1, 11
 #: Distinct words that a counting task holds before it hands them on.
 HELD = 200_000
 END = "\n"
-_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+_PLAIN = bytes.maketrans(bytes([*range(65, 91), *range(9, 14)]), bytes([*range(97, 123), *[32] * 5]))
 
 
 def words_of(text: str | None) -> list[str]:
     """The words of a text, A-Z in lower case, and the end."""
-    return [*map(bytes.decode, (text or "").encode().translate(_LOWER).split()), END]
+    words = (text or "").encode().translate(_PLAIN).decode().split(" ")
+    if "" in words:
+        words = [x for x in words if x]
+    words.append(END)
+    return words
 
 
 def shared_class(word: str) -> int:
@@ -196,6 +201,7 @@ class Model:
             self.log_shared = np.append(np.zeros(self.own), np.log10(self.shared_tokens + self.shared_types + 1.0))
             own = np.arange(self.own)
             self.class_table = np.append(own, [self.own + shared_class(w) for w in self.words[self.own :]]).astype(np.int64)
+            self.endings = Memory(shared_class, 100_000)
             self.log_all = float(np.log10(self.tokens + self.types + 1.0))
         return self
 
@@ -212,8 +218,7 @@ class Model:
 
     def ids(self, words: list[str]) -> np.ndarray:
         """Places in the look-up table; -1 for words outside."""
-        get = self.index.get
-        return np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+        return np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
 
     def token_log10(self, classes: list[np.ndarray]) -> np.ndarray:
         """Log10-probability of every position's class, the texts one after another."""
@@ -224,8 +229,8 @@ class Model:
     def classes_of(self, words: list[str], ids: np.ndarray) -> np.ndarray:
         """The class of every word of a text."""
         found = np.append(self.class_table, 0)[ids]
-        for k in np.flatnonzero(ids < 0).tolist():
-            found[k] = self.own + shared_class(words[k])
+        outside = np.flatnonzero(ids < 0)
+        found[outside] = [self.own + self.endings[words[k][-ENDING:]] for k in outside.tolist()]
         return found
 
 
@@ -337,7 +342,7 @@ def _score(key: str, shared):
             if not texts:
                 continue
             ids = [model.ids(x) for x in texts]
-            rest = [[{"token": t, "n": n} for t, n in Counter(w for w, i in zip(x, y.tolist(), strict=True) if i < 0).items()] if (y < 0).any() else [] for x, y in zip(texts, ids, strict=True)]
+            rest = [[{"token": t, "n": n} for t, n in Counter([x[k] for k in np.flatnonzero(y < 0).tolist()]).items()] for x, y in zip(texts, ids, strict=True)]
             every = np.concatenate(ids)
             at = np.cumsum([0, *(len(x) for x in ids[:-1])])
             outside = (every < 0) | (every >= model.own)
