@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..operators.components import connected_components
 from ..session import cut, shuffle_width
-from .common import slices
+from .common import no_state, slices
 from .simhash import link_edges, majority
 
 #: Words of a shingle; similarity that links, as a fraction.
@@ -27,7 +27,7 @@ WIDTH, OVER, UNDER = 5, 4, 5
 #: Documents of the sample that finds common shingles, about; times that one is seen in it at least; the most that are kept.
 SAMPLE_DOCS, COMMON_TIMES, COMMON = 10_000, 3, 200_000
 #: Words whose hashes a task remembers.
-HELD_WORDS = 500_000
+HELD_WORDS = 200_000
 #: Name of the passing column of the set's hash, which no table should have.
 KEY = "__near_key"
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -82,6 +82,7 @@ def _signed(values) -> pa.Array:
 
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    no_state()
     memo = _Words()
     for batch in slices(batches):
         sets = [shingle_set(x, memo) for x in batch.column("text").to_pylist()]
@@ -89,6 +90,7 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    no_state()
     memo = _Words()
     for batch in slices(batches):
         for text in batch.column("text").to_pylist():
@@ -96,6 +98,7 @@ def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    no_state()
     memo = _Words()
     for batch in slices(batches):
         sets = [shingle_set(x, memo) for x in batch.column("text").to_pylist()]
@@ -104,6 +107,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _prefixes(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        no_state()
         common, rank = shared.value
         memo = _Words()
         for batch in slices(batches):
@@ -229,6 +233,7 @@ def near_classes(docs: DataFrame) -> DataFrame:
 
 
 def _with_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    no_state()
     memo = _Words()
     for batch in slices(batches):
         found = _signed([set_key(shingle_set(x, memo)) for x in batch.column("text").to_pylist()])

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import cut
-from .common import slices
+from .common import no_state, slices
 
 _SPACES = b" \t\n\v\f\r"
 _SYMBOLS = b"#*$%&|<>"
@@ -73,6 +73,7 @@ def base_statistics(text: str | None) -> tuple[int, ...]:
 
 
 def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    no_state()
     for batch in slices(batches):
         rows = [base_statistics(x) for x in batch.column("text").to_pylist()]
         columns = list(zip(*rows, strict=True)) or [()] * (len(BASE_COLUMNS) - 1)
@@ -229,6 +230,7 @@ def quality_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def _filter(forest: Forest, limit: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        no_state()
         for batch in slices(batches):
             base = np.array([base_statistics(x) for x in batch.column("text").to_pylist()], np.int64).reshape(-1, len(BASE_COLUMNS) - 1)
             failed = (base[:, 0] < 10) | (100 * base[:, 4] > 20 * base[:, 0])
