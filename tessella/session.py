@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,9 +30,12 @@ def build_session(app: str = "tessella", cores: int | str = "*", shuffle_partiti
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one set here where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session gets one here;
+    on a cluster nothing local may stand in for it, so that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "/tmp/tessella-checkpoints"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -51,3 +55,12 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark)}/tessella/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of queries that have ended. It does so when the driver's JVM collects what stands
+    for them, which a driver with little to do may put off for long while executors' disks fill up."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
