@@ -48,3 +48,22 @@ def any_of(conditions: list[Column]) -> Column:
 def reasons(*named: tuple[str, Column]) -> Column:
     """The names whose condition holds, in order."""
     return F.filter(F.array(*(F.when(c, F.lit(n)) for n, c in named)), lambda x: x.isNotNull())
+
+
+def semver_key(text: Column) -> Column:
+    """A sortable key of a semantic version, null if it isn't one: numbers, then whether it is a release, then the parts of a
+    pre-release, where numbers come before words. Build marks don't count."""
+    shape = r"^\s*v?(0|[1-9]\d*)\.(0|[1-9]\d*)\.(0|[1-9]\d*)(?:-([0-9A-Za-z-]+(?:\.[0-9A-Za-z-]+)*))?(?:\+[0-9A-Za-z.-]+)?\s*$"
+    part = lambda k: F.regexp_extract(text, shape, k)
+    pre = part(4)
+    ids = F.transform(F.split(pre, r"\."), lambda x: F.struct((~x.rlike(r"^\d+$")).alias("word"), F.coalesce(x.try_cast("long"), F.lit(0)).alias("number"), F.when(x.rlike(r"^\d+$"), "").otherwise(x).alias("name")))
+    return F.when(text.rlike(shape), F.struct(part(1).cast("long").alias("major"), part(2).cast("long").alias("minor"), part(3).cast("long").alias("patch"), (pre == "").alias("release"), ids.alias("ids")))
+
+
+def inside_ring(x: Column, y: Column, ring: list[tuple[float, float]]) -> Column:
+    """Whether a point lies inside a ring of corners: a ray from it crosses an odd number of sides."""
+    crossed = [
+        ((F.lit(y1) > y) != (F.lit(y2) > y)) & (x < (x2 - x1) * (y - y1) / (y2 - y1) + x1)
+        for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1], strict=True) if y1 != y2
+    ]
+    return sum((c.cast("int") for c in crossed[1:]), crossed[0].cast("int")) % 2 == 1

@@ -36,3 +36,20 @@ def floor_filter(rows: DataFrame, group: str, order: list[str], amount: str, tot
 
     schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes) + ", taken boolean"
     return rows.groupBy(group).applyInPandas(fold, schema)
+
+
+def expanding_shares(rows: DataFrame, group: str, order: list[str], value: str, key: str) -> DataFrame:
+    """(key, seen, share): how many values came before in the group, and the share of them that is below, ties half. A
+    sorted list takes each value once, so a group of n rows costs about n log n."""
+    from bisect import bisect_left, bisect_right, insort
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        before: list[float] = []
+        out = []
+        for k, x in zip(pdf.sort_values(order)[key], pdf.sort_values(order)[value], strict=True):
+            low, high = bisect_left(before, x), bisect_right(before, x)
+            out.append((k, len(before), (low + high) / 2 / len(before) if before else None))
+            insort(before, x)
+        return pd.DataFrame(out, columns=[key, "seen", "share"])
+
+    return rows.groupBy(group).applyInPandas(fold, f"`{key}` long, seen long, share double")

@@ -35,3 +35,24 @@ def bootstrap_mean(df: DataFrame, draws: int, seed: int, low: float = 0.025, hig
     drawn = df.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("k", count)
     means = drawn.groupBy("draw").agg((F.sum(F.col("x") * F.col("k")) / F.sum("k")).alias("m"))
     return means.agg(F.percentile("m", low).alias("low"), F.percentile("m", high).alias("high"), F.count("*").alias("draws"))
+
+
+def fit_logistic(df: DataFrame, features: list[str], label: str, rounds: int, ridge: float = 1e-3) -> list[float]:
+    """Bias and weights of a logistic model by Newton's method. Each round is one aggregate over all rows: the gradient and
+    the curvature, whose size goes with the number of features and not of rows."""
+    import numpy as np
+
+    names = [F.lit(1.0), *map(F.col, features)]
+    w = np.zeros(len(names))
+    for _ in range(rounds):
+        z = sum((n * float(a) for n, a in zip(names[1:], w[1:], strict=True)), F.lit(float(w[0])))
+        p = 1 / (1 + F.exp(-z))
+        slope = [F.sum(n * (F.col(label) - p)) for n in names]
+        bend = [F.sum(a * b * p * (1 - p)) for i, a in enumerate(names) for b in names[: i + 1]]
+        row = list(df.agg(*slope, *bend, F.count("*")).first())
+        k, n = len(names), max(row[-1], 1)
+        g, h = np.array([x or 0.0 for x in row[:k]]) / n - ridge * w, np.zeros((k, k))
+        h[np.tril_indices(k)] = [x or 0.0 for x in row[k:-1]]
+        h = (h + np.tril(h, -1).T) / n + ridge * np.eye(k)
+        w = w + np.linalg.solve(h, g)
+    return w.tolist()

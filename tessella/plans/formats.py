@@ -42,25 +42,25 @@ def json_records(t: Tables):
     return readers.read_json_records(t.spark, out, "data.rows").select("n_nationkey", "n_name")
 
 
-@plan("src11_feed", "SELECT p_name AS title, 'http://x/' || p_partkey AS link, 'd' || p_size AS date FROM part WHERE p_partkey < 200")
+@plan("src11_feed", "SELECT p_name AS title, 'http://x/' || p_partkey AS link, 'd' || p_size AS date FROM part")
 def feed(t: Tables):
     item = F.concat(F.lit("<item><title>"), "p_name", F.lit("</title><link>http://x/"), F.col("p_partkey").cast("string"), F.lit("</link><pubDate>d"), F.col("p_size").cast("string"), F.lit("</pubDate></item>"))
-    docs = t.part.where("p_partkey < 200").groupBy((F.col("p_partkey") % 7).alias("g")).agg(F.concat(F.lit('<?xml version="1.0"?><rss><channel>'), F.array_join(F.collect_list(item), ""), F.lit("</channel></rss>")).alias("xml"))
+    docs = t.part.groupBy(F.floor(F.col("p_partkey") / 50).alias("g")).agg(F.concat(F.lit('<?xml version="1.0"?><rss><channel>'), F.array_join(F.collect_list(item), ""), F.lit("</channel></rss>")).alias("xml"))
     return readers.read_feed(docs)
 
 
-@plan("src12_sitemap", "SELECT 'http://x/' || p_partkey AS loc, '2024-01-' || lpad((p_size % 28 + 1)::VARCHAR, 2, '0') AS lastmod FROM part WHERE p_partkey < 200")
+@plan("src12_sitemap", "SELECT 'http://x/' || p_partkey AS loc, '2024-01-' || lpad((p_size % 28 + 1)::VARCHAR, 2, '0') AS lastmod FROM part")
 def sitemap(t: Tables):
     entry = F.concat(F.lit("<url><loc>http://x/"), F.col("p_partkey").cast("string"), F.lit("</loc><lastmod>2024-01-"), F.lpad((F.col("p_size") % 28 + 1).cast("string"), 2, "0"), F.lit("</lastmod></url>"))
-    docs = t.part.where("p_partkey < 200").agg(F.concat(F.lit('<urlset xmlns="http://s">'), F.array_join(F.collect_list(entry), ""), F.lit("</urlset>")).alias("xml"))
+    docs = t.part.groupBy(F.floor(F.col("p_partkey") / 50).alias("g")).agg(F.concat(F.lit('<urlset xmlns="http://s">'), F.array_join(F.collect_list(entry), ""), F.lit("</urlset>")).alias("xml"))
     return readers.read_sitemap(docs)
 
 
-@plan("src15_patch_lines", "SELECT 'f' || p_partkey AS path, 11 AS line, 'new ' || p_name AS text FROM part WHERE p_partkey < 100")
+@plan("src15_patch_lines", "SELECT 'f' || p_partkey AS path, 11 AS line, 'new ' || p_name AS text FROM part")
 def patch(t: Tables):
     n = F.col("p_partkey").cast("string")
     text = F.concat(F.lit("diff --git a/f"), n, F.lit(" b/f"), n, F.lit("\n--- a/f"), n, F.lit("\n+++ b/f"), n, F.lit("\n@@ -10,3 +10,3 @@\n same\n-old\n+new "), F.col("p_name"), F.lit("\n tail\n"))
-    return readers.patch_lines(t.part.where("p_partkey < 100").select(text.alias("patch")))
+    return readers.patch_lines(t.part.select(text.alias("patch")))
 
 
 @plan("snk03_release_manifest", "SELECT o_orderstatus AS split, count(*) AS rows FROM orders GROUP BY ALL")

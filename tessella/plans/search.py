@@ -45,29 +45,29 @@ def posting_index(t: Tables):
     return postings(t.documents, "doc_id").groupBy("id").agg(F.count("*").alias("terms"), F.sum("tf").alias("length"))
 
 
-_COS = "WITH v AS (SELECT vec_id, embedding[1:{d}]::DOUBLE[] AS v FROM embeddings), s AS (SELECT q.vec_id AS query_id, c.vec_id, round(list_inner_product(q.v, c.v) / sqrt(list_inner_product(q.v, q.v)) / sqrt(list_inner_product(c.v, c.v)), 6) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0) SELECT query_id, vec_id, round(score, 4) AS score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5"
+_COS = "WITH v AS (SELECT vec_id, embedding[1:{d}]::DOUBLE[] AS v FROM embeddings), s AS (SELECT q.vec_id AS query_id, c.vec_id, round(list_inner_product(q.v, c.v) / sqrt(list_inner_product(q.v, q.v)) / sqrt(list_inner_product(c.v, c.v)), 6) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0) SELECT query_id, vec_id, floor(score * 10000 + 0.5) AS score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5"
 
 
 @plan("dd21_dense_top", _COS.format(d=64))
 def dense_top(t: Tables):
-    q = t.embeddings.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    return cosine_top(t.embeddings, q, 5).select("query_id", "vec_id", F.round("score", 4).alias("score"))
+    q = t.embeddings.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return cosine_top(t.embeddings, q, 5).select("query_id", "vec_id", F.floor(F.col("score") * 10000 + 0.5).cast("double").alias("score"))
 
 
 @plan("dd27_truncated", _COS.format(d=16))
 def truncated(t: Tables):
-    q = t.embeddings.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    return cosine_top(t.embeddings, q, 5, dims=16).select("query_id", "vec_id", F.round("score", 4).alias("score"))
+    q = t.embeddings.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return cosine_top(t.embeddings, q, 5, dims=16).select("query_id", "vec_id", F.floor(F.col("score") * 10000 + 0.5).cast("double").alias("score"))
 
 
-@plan("dd28_content_gap", "WITH a AS (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM benchmark), b AS (SELECT term, count(*) AS want FROM a GROUP BY term), d AS (SELECT term, count(*) AS have FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM documents WHERE doc_id < 100) GROUP BY term) SELECT term, CASE WHEN have IS NULL THEN 'missing' WHEN have < want THEN 'thin' WHEN have > 50 * want THEN 'overused' ELSE 'covered' END AS state FROM b LEFT JOIN d USING (term)")
+@plan("dd28_content_gap", "WITH a AS (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM benchmark), b AS (SELECT term, count(*) AS want FROM a GROUP BY term), d AS (SELECT term, count(*) AS have FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM documents) GROUP BY term) SELECT term, CASE WHEN have IS NULL THEN 'missing' WHEN have < want THEN 'thin' WHEN have > 50 * want THEN 'overused' ELSE 'covered' END AS state FROM b LEFT JOIN d USING (term)")
 def content_gap(t: Tables):
     terms = lambda df, n: df.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0)).alias("term")).groupBy("term").agg(F.count("*").alias(n))
-    j = terms(t.benchmark, "want").join(terms(t.documents.where("doc_id < 100"), "have"), "term", "left")
+    j = terms(t.benchmark, "want").join(terms(t.documents, "have"), "term", "left")
     return j.select("term", F.when(F.col("have").isNull(), "missing").when(F.col("have") < F.col("want"), "thin").when(F.col("have") > 50 * F.col("want"), "overused").otherwise("covered").alias("state"))
 
 
-@plan("dd22_exact_l2", """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT q.vec_id AS query_id, c.vec_id, round(list_inner_product(q.v, q.v) + list_inner_product(c.v, c.v) - 2 * list_inner_product(q.v, c.v), 5) AS d FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 125 = 0)
+@plan("dd22_exact_l2", """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT q.vec_id AS query_id, c.vec_id, round(list_inner_product(q.v, q.v) + list_inner_product(c.v, c.v) - 2 * list_inner_product(q.v, c.v), 5) AS d FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
   SELECT query_id, vec_id FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) <= 3""")
 def exact_l2(t: Tables):
     from pyspark.sql import Window
@@ -75,7 +75,7 @@ def exact_l2(t: Tables):
     from ..functions.columns import dot
 
     v = t.embeddings.select("vec_id", F.col("embedding").alias("v"))
-    q = v.where("vec_id % 125 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    q = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
     d = dot(F.col("q"), F.col("q")) + dot(F.col("v"), F.col("v")) - 2 * dot(F.col("q"), F.col("v"))
     s = v.join(q, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(d, 5).alias("d"))
     return s.withColumn("rn", F.row_number().over(Window.partitionBy("query_id").orderBy("d", "vec_id"))).where("rn <= 3").select("query_id", "vec_id")

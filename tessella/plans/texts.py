@@ -9,27 +9,29 @@ from .base import Tables, plan
 
 _W = "list_filter(regexp_split_to_array(text, '[ \\t\\n\\r\\f\\x0B]+'), lambda x: x <> '')"
 _STOP = "['the', 'be', 'to', 'of', 'and', 'that', 'have', 'with']"
+_ENGLISH = "[" + ", ".join(f"'{x}'" for x in dict.fromkeys(X.ENGLISH)) + "]"
+_BLANK = r"[ \t\f\r\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
 
-@plan("tx01_normalize", r"SELECT doc_id, sha256(trim(regexp_replace(lower(text), '[ \t\n\r\f\x0B]+', ' ', 'g'), ' ')) AS hash FROM documents")
+@plan("tx01_normalize", rf"""WITH a AS (SELECT doc_id, regexp_replace(regexp_replace(nfc_normalize(text), '[^\PC\n\t]', '', 'g'), '{_BLANK}+', ' ', 'g') AS t FROM documents)
+  SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(t, ' \n', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS hash FROM a""")
 def normalize(t: Tables):
-    return t.documents.select("doc_id", F.sha2(X.normalized(F.col("text")), 256).alias("hash"))
+    from ..operators.prose import composed
 
+    return composed(t.documents.select("doc_id", "text")).select("doc_id", F.sha2(X.canonical(F.col("text")), 256).alias("hash"))
 
-@plan("tx02_is_english", f"""WITH w AS (SELECT doc_id, len(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS latin, len(regexp_replace(text, '[^\\pL]', '', 'g')) AS letters, len(list_intersect(list_distinct(list_transform({_W}, lambda x: lower(x))), {_STOP})) AS stops FROM documents)
-  SELECT doc_id, latin >= 0.85 * letters AND stops >= 2 AS english FROM w""")
+
+@plan("tx02_is_english", f"""WITH w AS (SELECT doc_id, len(regexp_replace(text, '[^\\p{{Latin}}]', '', 'g')) AS latin, len(regexp_replace(text, '\\PL', '', 'g')) AS letters, len(list_intersect(list_distinct(regexp_extract_all(lower(text), '\\pL+')), {_ENGLISH})) AS stops FROM documents)
+  SELECT doc_id, letters > 0 AND latin >= 0.85 * letters AND stops >= 2 AS english FROM w""")
 def is_english(t: Tables):
-    d = t.documents
-    latin, letters = F.length(F.regexp_replace("text", "[^A-Za-z]", "")), F.length(F.regexp_replace("text", r"[^\p{L}]", ""))
-    stops = F.size(F.array_intersect(F.transform(X.tokens(d.text), lambda x: F.lower(x)), F.array(*map(F.lit, X.STOPWORDS))))
-    return d.select("doc_id", ((latin >= 0.85 * letters) & (stops >= 2)).alias("english"))
+    return t.documents.select("doc_id", X.english(F.col("text")).alias("english"))
 
 
-_GOPHER = f"""WITH w AS (SELECT doc_id, text, {_W} AS w, string_split(text, chr(10)) AS l FROM documents),
-  s AS (SELECT doc_id, len(w) AS n, coalesce(list_sum(list_transform(w, lambda x: len(x))) / nullif(len(w), 0), 0) AS mean, coalesce(len(regexp_extract_all(text, '#|\\.\\.\\.')) / nullif(len(w), 0), 0) AS symbols,
-    len(list_filter(l, lambda x: regexp_matches(trim(x), '^[-*]'))) / len(l) AS bullets, len(list_filter(l, lambda x: regexp_matches(trim(x), '\\.\\.\\.$'))) / len(l) AS ellipsis,
-    coalesce(len(list_filter(w, lambda x: regexp_matches(x, '[A-Za-z]'))) / nullif(len(w), 0), 0) AS alpha, len(list_intersect(list_distinct(list_transform(w, lambda x: lower(x))), {_STOP})) AS stops FROM w)
-  SELECT doc_id, CASE WHEN n < 50 THEN 'too_short' WHEN n > 100000 THEN 'too_long' WHEN mean < 3 OR mean > 10 THEN 'mean_word_length' WHEN symbols >= 0.1 THEN 'symbols' WHEN bullets >= 0.9 THEN 'bullets' WHEN ellipsis >= 0.3 THEN 'ellipsis' WHEN alpha < 0.8 THEN 'alpha' WHEN stops < 2 THEN 'stopwords' END AS reason FROM s"""
+_GOPHER = f"""WITH w AS (SELECT doc_id, text, {_W} AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\\S')) AS l FROM documents),
+  s AS (SELECT doc_id, len(w) AS n, coalesce(list_sum(list_transform(w, lambda x: len(x))) / nullif(len(w), 0), 0) AS mean, coalesce(len(regexp_extract_all(text, '#|…|\\.\\.\\.')) / nullif(len(w), 0), 0) AS symbols, len(l) AS lines,
+    len(list_filter(l, lambda x: regexp_matches(x, '^\\s*[*•·‣◦–—#-]'))) / len(l) AS bullets, len(list_filter(l, lambda x: regexp_matches(x, '(…|\\.\\.\\.)\\s*$'))) / len(l) AS ellipsis,
+    len(list_filter(l, lambda x: regexp_matches(x, '\\pL'))) / len(l) AS alpha, len(list_intersect(list_distinct(regexp_extract_all(lower(text), '[a-z]+')), {_STOP})) AS stops FROM w)
+  SELECT doc_id, CASE WHEN n < 50 THEN 'too_short' WHEN n > 100000 THEN 'too_long' WHEN mean < 3 OR mean > 10 THEN 'mean_word_len' WHEN symbols >= 0.1 THEN 'symbol_ratio' WHEN lines > 0 AND bullets >= 0.9 THEN 'bullet_lines' WHEN lines > 0 AND ellipsis >= 0.3 THEN 'ellipsis_lines' WHEN lines > 0 AND alpha < 0.8 THEN 'non_alpha_lines' WHEN stops < 2 THEN 'no_stopwords' END AS reason FROM s"""
 
 
 @plan("tx03_gopher_quality", _GOPHER)
@@ -37,21 +39,31 @@ def gopher_quality(t: Tables):
     return t.documents.select("doc_id", X.gopher_reason(F.col("text")).alias("reason"))
 
 
-def _scrub_sql(x: str) -> str:
-    for pattern, mark in X.PII:
-        x = f"regexp_replace({x}, '{pattern}', '{mark}', 'g')"
-    return x
-
-
-@plan("tx04_scrub_pii", f"SELECT doc_id, sha256({_scrub_sql('text')}) AS hash FROM documents")
+@plan("tx04_scrub_pii")
 def scrub_pii(t: Tables):
+    """No SQL: DuckDB's patterns know no look-around. Tested against the same shapes in Python."""
     return t.documents.select("doc_id", F.sha2(X.scrubbed(F.col("text")), 256).alias("hash"))
 
 
-@plan("tx05_redaction_counts", r"SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')) AS emails, len(regexp_extract_all(text, '(?i)(token|secret|api_key|password)\s*=\s*\S+')) AS secrets FROM documents")
+@plan("tx05_redaction_counts")
 def redaction_counts(t: Tables):
-    count = lambda p: F.regexp_count("text", F.lit(p)).cast("long")
-    return t.documents.select("doc_id", count(X.PII[0][0]).alias("emails"), count(r"(?i)(token|secret|api_key|password)\s*=\s*\S+").alias("secrets"))
+    """Counts by detector, each over what the one before left, and the hash of the redacted text."""
+    from ..operators.prose import redacted
+
+    return redacted(t.documents.select("doc_id", "text")).withColumn("text", F.sha2("text", 256)).withColumnRenamed("text", "hash")
+
+
+@plan("tx06_secret_scan")
+def secret_scan(t: Tables):
+    from ..operators.prose import secrets_of
+
+    return secrets_of(t.documents.select("doc_id", "text"))
+
+
+@plan("tx07_signature_pack", "SELECT doc_id, kind, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, unnest(regexp_extract_all(text, '{p.replace(chr(39), chr(39) * 2)}')) AS hit FROM documents" for k, p, _, _ in X.SIGNATURES) + ") GROUP BY ALL")
+def signature_pack(t: Tables):
+    hits = F.array(*(F.struct(F.lit(k).alias("kind"), F.regexp_count("text", F.lit(p)).cast("long").alias("n")) for k, p, _, _ in X.SIGNATURES))
+    return t.documents.select("doc_id", F.explode(F.filter(hits, lambda x: x["n"] > 0)).alias("x")).select("doc_id", "x.*")
 
 
 @plan("tx08_entropy", """WITH c AS (SELECT p_partkey, unnest(string_split(p_name, '')) AS ch, len(p_name) AS n FROM part), f AS (SELECT p_partkey, ch, count(*) / any_value(n) AS p FROM c GROUP BY p_partkey, ch) SELECT p_partkey, round(-sum(p * log2(p)), 6) AS bits FROM f GROUP BY ALL""")
@@ -95,12 +107,26 @@ def parse_timestamp(t: Tables):
     return t.orders.select("o_orderkey", raw.alias("raw")).select("o_orderkey", parsed.cast("timestamp_ntz").alias("ts"))
 
 
-@plan("tx15_readability", r"""WITH c AS (SELECT doc_id, greatest(len(regexp_extract_all(text, '[.!?]+')), 1) AS s, greatest(len(regexp_extract_all(text, '[A-Za-z]+')), 1) AS w, len(regexp_extract_all(lower(text), '[aeiouy]+')) AS v FROM documents)
-  SELECT doc_id, round(206.835 - 1.015 * w / s - 84.6 * v / w, 2) AS ease, round(0.39 * w / s + 11.8 * v / w - 15.59, 2) AS grade FROM c""")
+_COUNTS = r"""WITH c AS (SELECT doc_id, greatest(len(regexp_extract_all(text, '[.!?]+')), 1)::DOUBLE AS s, greatest(len(regexp_extract_all(text, '[A-Za-z]+')), 1)::DOUBLE AS w, len(regexp_extract_all(lower(text), '[aeiouy]+'))::DOUBLE AS v,
+  len(regexp_extract_all(lower(text), '[a-z]*([aeiouy]+[^aeiouy\W]+){2,}[aeiouy]+[a-z]*'))::DOUBLE AS hard, len(regexp_replace(text, '[^A-Za-z]', '', 'g'))::DOUBLE AS l FROM documents)"""
+
+
+@plan("tx15_readability", _COUNTS + """ SELECT doc_id, floor(floor(1e6::DOUBLE * (206.835::DOUBLE - 1.015::DOUBLE * (w / s) - 84.6::DOUBLE * (v / w))) / 100)::BIGINT AS ease, floor(floor(1e6::DOUBLE * (0.39::DOUBLE * (w / s) + 11.8::DOUBLE * (v / w) - 15.59::DOUBLE)) / 100)::BIGINT AS grade,
+  floor(floor(1e6::DOUBLE * (0.4::DOUBLE * ((w / s) + 100.0::DOUBLE * (hard / w)))) / 100)::BIGINT AS fog, floor(floor(1e6::DOUBLE * (0.0588::DOUBLE * (100.0::DOUBLE * l / w) - 0.296::DOUBLE * (100.0::DOUBLE * s / w) - 15.8::DOUBLE)) / 100)::BIGINT AS liau FROM c""")
 def readability(t: Tables):
+    """The four measures in ten-thousandths."""
     count = lambda p, c="text": F.regexp_count(F.col(c) if isinstance(c, str) else c, F.lit(p)).cast("double")
-    s, w, v = F.greatest(count("[.!?]+"), F.lit(1.0)), F.greatest(count("[A-Za-z]+"), F.lit(1.0)), count("[aeiouy]+", F.lower("text"))
-    return t.documents.select("doc_id", F.round(206.835 - 1.015 * w / s - 84.6 * v / w, 2).alias("ease"), F.round(0.39 * w / s + 11.8 * v / w - 15.59, 2).alias("grade"))
+    low = F.lower("text")
+    c = t.documents.select(
+        "doc_id", F.greatest(count("[.!?]+"), F.lit(1.0)).alias("s"), F.greatest(count("[A-Za-z]+"), F.lit(1.0)).alias("w"), count("[aeiouy]+", low).alias("v"),
+        count(r"[a-z]*([aeiouy]+[^aeiouy\W]+){2,}[aeiouy]+[a-z]*", low).alias("hard"), F.length(F.regexp_replace("text", "[^A-Za-z]", "")).cast("double").alias("l"),
+    )
+    s, w, v, hard, letters = (F.col(x) for x in ("s", "w", "v", "hard", "l"))
+    part = lambda x: F.floor(F.floor(1e6 * x) / 100)
+    return c.select(
+        "doc_id", part(206.835 - 1.015 * (w / s) - 84.6 * (v / w)).alias("ease"), part(0.39 * (w / s) + 11.8 * (v / w) - 15.59).alias("grade"),
+        part(0.4 * ((w / s) + 100.0 * (hard / w))).alias("fog"), part(0.0588 * (100.0 * letters / w) - 0.296 * (100.0 * s / w) - 15.8).alias("liau"),
+    )
 
 
 @plan("tx20_keyword_score", r"SELECT doc_id, (CASE WHEN regexp_matches(lower(substr(text, 1, 80)), '\bthe\b') THEN 6 WHEN regexp_matches(lower(text), '\bthe\b') THEN 3 ELSE 0 END) + (CASE WHEN regexp_matches(lower(substr(text, 1, 80)), '\bder\b') THEN 2 WHEN regexp_matches(lower(text), '\bder\b') THEN 1 ELSE 0 END) AS score FROM documents")
@@ -183,16 +209,6 @@ def contrast(t: Tables):
     return t.part.select("p_partkey", F.round(1.05 / (lum + 0.05), 4).alias("ratio"))
 
 
-#: Names and shapes of secrets; what is found first in this order has the place.
-SIGNATURES = [("github", r"gh[pousr]_[A-Za-z0-9]{36}"), ("aws", r"AKIA[0-9A-Z]{16}"), ("slack", r"xox[baprs]-[A-Za-z0-9-]{10,}"), ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"), ("token", r"token = .[0-9a-f]{40}")]
-
-
-@plan("tx06_secret_scan", "SELECT doc_id, kind, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, unnest(regexp_extract_all(text, '{p}')) AS hit FROM documents" for k, p in SIGNATURES) + ") GROUP BY ALL")
-def secret_scan(t: Tables):
-    hits = F.array(*(F.struct(F.lit(k).alias("kind"), F.regexp_count("text", F.lit(p)).cast("long").alias("n")) for k, p in SIGNATURES))
-    return t.documents.select("doc_id", F.explode(F.filter(hits, lambda x: x["n"] > 0)).alias("x")).select("doc_id", "x.*")
-
-
 @plan("tx16_syllables")
 def syllables(t: Tables):
     from ..operators.prose import syllable_counts

@@ -76,13 +76,12 @@ def pct_change(t: Tables):
     return d.select("user_id", "day", pct(1).alias("pct_1"), pct(3).alias("pct_3"))
 
 
-@plan("wn09_expanding_rank", """SELECT a.event_id, round((count(*) FILTER (b.value < a.value) + 0.5 * count(*) FILTER (b.value = a.value)) / count(*), 6) AS rank FROM events a JOIN events b ON a.user_id = b.user_id AND (b.ts, b.event_id) < (a.ts, a.event_id) WHERE a.user_id < 30 GROUP BY a.event_id HAVING count(*) >= 5""")
+@plan("wn09_expanding_rank", """SELECT a.event_id, round((count(*) FILTER (b.value < a.value) + 0.5 * count(*) FILTER (b.value = a.value)) / count(*), 6) AS rank FROM events a JOIN events b ON a.user_id = b.user_id AND (b.ts, b.event_id) < (a.ts, a.event_id) GROUP BY a.event_id HAVING count(*) >= 5""")
 def expanding_rank(t: Tables):
-    # Each event meets the values before it as one array from its window: one sort a user, no self join.
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    e = t.events.where("user_id < 30").withColumn("before", F.collect_list("value").over(w)).where("size(before) >= 5")
-    score = F.aggregate("before", F.lit(0.0), lambda s, x: s + F.when(x < F.col("value"), 1.0).when(x == F.col("value"), 0.5).otherwise(0.0))
-    return e.select("event_id", F.round(score / F.size("before"), 6).alias("rank"))
+    from ..operators.folds import expanding_shares
+
+    e = t.events.select("user_id", "event_id", F.col("ts").cast("timestamp").alias("at"), "value")
+    return expanding_shares(e, "user_id", ["at", "event_id"], "value", "event_id").where("seen >= 5").select("event_id", F.round("share", 6).alias("rank"))
 
 
 @plan("wn10_slowest", "SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice FROM lineitem WHERE l_extendedprice IS NOT NULL ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey LIMIT 20")
@@ -121,17 +120,17 @@ def page_numbers(t: Tables):
 
 
 @plan("wn17_staleness", """SELECT user_id, CASE WHEN max(ts) IS NULL THEN 'never' WHEN greatest(epoch(TIMESTAMP '2024-01-31') - epoch(max(ts)), 0) > 172800 THEN 'stale' WHEN greatest(epoch(TIMESTAMP '2024-01-31') - epoch(max(ts)), 0) > 86400 THEN 'late' ELSE 'ok' END AS verdict
-  FROM events WHERE event_type = 'purchase' GROUP BY ALL""")
+  FROM (SELECT user_id, CASE WHEN event_type = 'purchase' THEN ts END AS ts FROM events) GROUP BY ALL""")
 def staleness(t: Tables):
     age = F.greatest(F.lit("2024-01-31").cast("timestamp").cast("double") - F.max("ts").cast("timestamp").cast("double"), F.lit(0.0))
-    return t.events.where("event_type = 'purchase'").groupBy("user_id").agg(F.when(F.max("ts").isNull(), "never").when(age > 172800, "stale").when(age > 86400, "late").otherwise("ok").alias("verdict"))
+    return t.events.select("user_id", F.when(F.col("event_type") == "purchase", F.col("ts")).alias("ts")).groupBy("user_id").agg(F.when(F.max("ts").isNull(), "never").when(age > 172800, "stale").when(age > 86400, "late").otherwise("ok").alias("verdict"))
 
 
-@plan("wn15_chain_walk", """WITH RECURSIVE p AS (SELECT event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events), c AS (SELECT event_id AS start, event_id AS node, 0 AS depth FROM p WHERE event_id % 500 = 0
+@plan("wn15_chain_walk", """WITH RECURSIVE p AS (SELECT event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events), c AS (SELECT event_id AS start, event_id AS node, 0 AS depth FROM p
   UNION ALL SELECT c.start, p.prev, c.depth + 1 FROM c JOIN p ON p.event_id = c.node WHERE p.prev IS NOT NULL AND c.depth < 5) SELECT start, node, depth FROM c""")
 def chain_walk(t: Tables):
     # The k-th predecessor is a lag: the walk is one window.
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     steps = F.array(*(F.struct(F.lit(k).alias("depth"), (F.lag("event_id", k).over(w) if k else F.col("event_id")).alias("node")) for k in range(6)))
-    e = t.events.withColumn("steps", steps).where("event_id % 500 = 0")
+    e = t.events.withColumn("steps", steps)
     return e.select(F.col("event_id").alias("start"), F.explode("steps").alias("x")).select("start", "x.node", "x.depth").where("node is not null")
