@@ -1,12 +1,14 @@
 """Near copies: texts whose sets of five-word shingles have a Jaccard similarity of at least 0.8, exact.
 
-Equal sets are one class. Two steps find links between classes, and every link is verified on the whole sets. First the
-SimHash fingerprints of the sets are linked by the pigeonring search of :mod:`simhash`, which joins most of a group at a cost
-linear in its size. Fingerprints of a pair of that similarity may differ in more bits than that search can look for, so
-prefix filtering finds the rest: under any one order of all shingles, two sets of that similarity share one of the first
-``n - ceil(0.8 n) + 1`` of each, and the first shared one leaves room for enough others. Only classes that the first step
-hasn't joined meet there, so what it missed is found and a group of near copies isn't compared pair by pair. Shingles that
-a sample finds common come last in the order; the sample decides on cost alone and not on results.
+Equal sets are one class. Two steps find links between classes, and every link is verified on the whole texts. First the
+SimHash fingerprints of the sets are linked by the pigeonring search of :mod:`simhash`. Fingerprints of a pair of that
+similarity may differ in more bits than that search can look for, so each class also meets two classes of each of its MinHash
+bands, drawn anew for every band; both together join most of a group at a cost linear in its size. Then prefix filtering finds the rest: under
+any one order of all shingles, two sets of that similarity share one of the first ``n - ceil(0.8 n) + 1`` of each, and the
+first shared one leaves room for enough others. Only classes that the first step hasn't joined meet there, so what it missed
+is found and a group of near copies isn't compared pair by pair. Common shingles come last in the order, by how many
+documents have them, so documents that share a passage don't meet on it. The counts cover all documents; how many of the
+common shingles the table holds decides on cost alone and not on results.
 """
 
 from __future__ import annotations
@@ -15,23 +17,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..operators.components import connected_components
-from ..session import cut, shuffle_width
+from ..session import cut, release, shuffle_width
 from .common import no_state, slices
 from .simhash import link_edges, majority
 
 #: Words of a shingle; similarity that links, as a fraction.
 WIDTH, OVER, UNDER = 5, 4, 5
-#: Documents of the sample that finds common shingles, about; times that one is seen in it at least; the most that are kept.
-SAMPLE_DOCS, COMMON_TIMES, COMMON = 10_000, 3, 200_000
+#: MinHash bands of the first step, and functions of a band.
+BANDS, ROWS = 24, 3
+#: Documents that have a shingle from which it is common, and common shingles that the table holds at most (the most common).
+COMMON_TIMES, COMMON = 4, 1_000_000
 #: Words whose hashes a task remembers.
-HELD_WORDS = 200_000
+HELD_WORDS = 100_000
 #: Name of the passing column of the set's hash, which no table should have.
 KEY = "__near_key"
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _RNG = np.random.default_rng(17)
+_DRAWS = _RNG.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACES = _RNG.integers(1, 2**63, WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -81,28 +87,34 @@ def _signed(values) -> pa.Array:
     return pa.array(np.array(values, np.uint64).view(np.int64))
 
 
+def _bands(found: np.ndarray) -> np.ndarray:
+    least = np.min([found * a for a in _DRAWS], axis=1).reshape(BANDS, ROWS)
+    mixed = np.arange(BANDS, dtype=np.uint64)
+    for k in range(ROWS):
+        mixed = _mixed(mixed * _PLACES[0] + least[:, k])
+    return mixed
+
+
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     no_state()
     memo = _Words()
     for batch in slices(batches):
         sets = [shingle_set(x, memo) for x in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), _signed([set_key(x) for x in sets]), pa.array([majority(x) for x in sets], pa.int64())], names=["doc_id", "key", "fp"])
+        bands = pa.array([_bands(x).view(np.int64) for x in sets], pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), _signed([set_key(x) for x in sets]), pa.array([majority(x) for x in sets], pa.int64()), bands], names=["doc_id", "key", "fp", "bands"])
 
 
-def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    no_state()
-    memo = _Words()
-    for batch in slices(batches):
-        for text in batch.column("text").to_pylist():
-            yield pa.RecordBatch.from_arrays([_signed(shingle_set(text, memo))], names=["h"])
+def _low(h: np.ndarray) -> np.ndarray:
+    """The part of a shingle's hash that common ones are counted by."""
+    return (h >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     no_state()
     memo = _Words()
     for batch in slices(batches):
-        sets = [shingle_set(x, memo) for x in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([_signed([set_key(x) for x in sets]), pa.array([x.tobytes() for x in sets], pa.binary())], names=["key", "hs"])
+        h, n = np.unique(np.concatenate([_low(shingle_set(x, memo)) for x in batch.column("text").to_pylist()]), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n, pa.int32())], names=["h", "n"])
 
 
 def _prefixes(shared):
@@ -115,8 +127,9 @@ def _prefixes(shared):
             firsts = []
             for found in sets:
                 if len(common):
-                    at = np.minimum(np.searchsorted(common, found), len(common) - 1)
-                    found = found[np.argsort(np.where(common[at] == found, rank[at], 0), kind="stable")]
+                    low = _low(found)
+                    at = np.minimum(np.searchsorted(common, low), len(common) - 1)
+                    found = found[np.argsort(np.where(common[at] == low, rank[at], 0), kind="stable")]
                 n = len(found)
                 firsts.append(found[: n - -(-OVER * n // UNDER) + 1].view(np.int64))
             yield pa.RecordBatch.from_arrays(
@@ -142,8 +155,7 @@ def run_pairs(key: np.ndarray, group: np.ndarray, size: np.ndarray, place: np.nd
 
 
 def _token_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of rows sorted by shingle; a shingle may straddle batches."""
-    names = ["h", "key", "group", "size", "place"]
+    """Candidate pairs of rows sorted by shingle; a shingle may straddle batches. A null group is the class itself."""
     held = [np.zeros(0, np.int64)] * 5
 
     def solve(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -161,7 +173,9 @@ def _token_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["lo", "hi"])
 
     for batch in batches:
-        columns = [np.concatenate([x, batch.column(c).to_numpy(zero_copy_only=False)]) for x, c in zip(held, names, strict=True)]
+        shape = batch.column("shape").to_numpy()
+        fresh = [batch.column("h").to_numpy(), batch.column("num").to_numpy(), pc.coalesce(batch.column("group"), batch.column("num")).to_numpy(), shape >> 32, shape & 0xFFFFFFFF]
+        columns = [np.concatenate(x) for x in zip(held, fresh, strict=True)]
         if len(columns[0]):
             last = int(np.searchsorted(columns[0], columns[0][-1]))
             held = [x[last:] for x in columns]
@@ -170,66 +184,96 @@ def _token_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs that are similar; rows that follow each other mostly share their first text."""
+    no_state()
+    memo, last, one = _Words(), None, None
     for batch in slices(batches):
-        one, two = (batch.column(c).to_pylist() for c in ("h1", "h2"))
-        good = pa.array([similar(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)) for a, b in zip(one, two, strict=True)], pa.bool_())
+        good = []
+        for a, b in zip(batch.column("t1").to_pylist(), batch.column("t2").to_pylist(), strict=True):
+            if one is None or a != last:
+                last, one = a, shingle_set(a, memo)
+            good.append(similar(one, shingle_set(b, memo)))
+        good = pa.array(good, pa.bool_())
         yield pa.RecordBatch.from_arrays([batch.column("lo").filter(good), batch.column("hi").filter(good)], names=["lo", "hi"])
 
 
 def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The (lo, hi) of ``pairs`` that are similar, by whole sets; ``classes`` says which document holds a class's text."""
-    ends = pairs.select(F.explode(F.array("lo", "hi")).alias("key")).distinct()
-    ids = cut(ends.join(classes, "key").select("gone", "id").distinct(), "near-ids")
-    named = docs.select("doc_id", "text", F.col("doc_id").isNull().alias("gone"), F.coalesce("doc_id", F.lit(0)).cast("long").alias("id"))
-    sets = cut(named.join(ids, ["gone", "id"], "left_semi").select("text").mapInArrow(_sets, "key long, hs binary").dropDuplicates(["key"]), "near-sets")
-    left, right = sets.select(F.col("key").alias("lo"), F.col("hs").alias("h1")), sets.select(F.col("key").alias("hi"), F.col("hs").alias("h2"))
-    return cut(pairs.join(left, "lo").join(right, "hi").select("lo", "hi", "h1", "h2").mapInArrow(_verified, "lo long, hi long"), "near-links")
-
-
-def fingerprint_pairs(classes: DataFrame) -> DataFrame:
-    """(lo, hi): the classes of a fingerprint with its first, and the firsts of fingerprints that the pigeonring search links."""
-    first = cut(classes.groupBy("fp").agg(F.min("key").alias("first")), "near-fps")
-    same = classes.join(first, "fp").where("first <> key").select(F.col("first").alias("lo"), F.col("key").alias("hi"))
+    """The (lo, hi) of ``pairs`` that are similar, by whole texts; ``classes`` says which document holds a class's text."""
+    ends = pairs.select(F.explode(F.array("lo", "hi")).alias("num")).distinct()
+    wanted = cut(ends.join(classes.select("num", "key", "gone", "id"), "num").select("num", F.col("key").alias("k"), F.col("gone").alias("g"), F.col("id").alias("i")), "near-wanted")
+    keyed = docs.select("doc_id", "text", F.col("doc_id").isNull().alias("gone"), F.coalesce("doc_id", F.lit(0)).cast("long").alias("id"))
+    some = keyed.join(wanted.select("g", "i").distinct(), (F.col("gone") == F.col("g")) & (F.col("id") == F.col("i")), "left_semi")
+    some = some.select("text", "gone", "id").mapInArrow(_with_key, f"text string, gone boolean, id long, {KEY} long")
+    texts = cut(some.join(wanted, (F.col("gone") == F.col("g")) & (F.col("id") == F.col("i")) & (F.col(KEY) == F.col("k"))).select("num", "text"), "near-texts")
+    if texts.count() != wanted.count():  # rows of equal id and text
+        texts = texts.groupBy("num").agg(F.min("text").alias("text"))
+    left, right = texts.select(F.col("num").alias("lo"), F.col("text").alias("t1")), texts.select(F.col("num").alias("hi"), F.col("text").alias("t2"))
+    return cut(pairs.join(right, "hi").join(left, "lo").select("lo", "hi", "t1", "t2").mapInArrow(_verified, "lo long, hi long"), "near-links")
+
+
+def first_pairs(classes: DataFrame) -> DataFrame:
+    """(lo, hi): the classes of a fingerprint with its first, the firsts of fingerprints that the pigeonring search links, and
+    the classes of a band with two of them."""
+    first = cut(classes.groupBy("fp").agg(F.min("num").alias("first")), "near-fps")
+    same = classes.join(first, "fp").where("first <> num").select(F.col("first").alias("lo"), F.col("num").alias("hi"))
     edges = cut(link_edges(first.select("fp")), "near-fp-edges")
     one, two = first.select(F.col("fp").alias("a"), F.col("first").alias("k1")), first.select(F.col("fp").alias("b"), F.col("first").alias("k2"))
     near = edges.join(one, "a").join(two, "b").select(F.least("k1", "k2").alias("lo"), F.greatest("k1", "k2").alias("hi"))
-    return cut(same.union(near).distinct(), "near-fp-pairs")
-
-
-def common_shingles(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Common shingles of a sample in ascending order, and their ranks by how often it has them."""
-    rate = min(1.0, SAMPLE_DOCS / max(n, 1))
-    sample = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int(rate * (1 << 30))).select("text")
-    counted = sample.mapInArrow(_shingles, "h long").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON_TIMES)
-    table = counted.orderBy(F.desc("n"), "h").limit(COMMON).toArrow()  # bounded by COMMON
-    h = table.column("h").to_numpy().view(np.uint64)
+    spread = classes.select("num", F.explode("bands").alias("band"))
+    drawn = F.struct(F.xxhash64("num", "band").alias("draw"), "num")  # another first in every band, so a class meets many
+    least = cut(spread.groupBy("band").agg(F.min(drawn).alias("x"), F.max(drawn).alias("y")).where("x.num <> y.num").select("band", F.explode(F.array("x.num", "y.num")).alias("hub")), "near-bands")
+    banded = spread.join(least, "band").where("hub <> num").select(F.least("hub", "num").alias("lo"), F.greatest("hub", "num").alias("hi"))
+    return cut(same.union(near).union(banded).distinct(), "near-first-pairs")
+
+
+def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Common shingles in ascending order, by the upper half of their hash, and their ranks by how many documents have them."""
+    # A slice of rows is counted at once, so a shingle of many documents is combined before the shuffle and few others would be.
+    counted = docs.select("text").mapInArrow(_shingles, "h int, n int").repartition(shuffle_width(docs.sparkSession), "h")
+    counted = counted.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON_TIMES)
+    counted = cut(counted.withColumn("step", F.floor(F.log2("n") * 8).cast("int")), "near-common")
+    floor, room = None, COMMON
+    for step, size in counted.groupBy("step").count().orderBy(F.desc("step")).collect():  # at most 8 for each bit of a count
+        room -= size
+        if room < 0:
+            break
+        floor = step
+    if floor is None:
+        return np.zeros(0, np.int32), np.zeros(0, np.int64)
+    table = counted.where(F.col("step") >= floor).select("h", "n").toArrow()  # bounded by COMMON
+    h, n = table.column("h").to_numpy(), table.column("n").to_numpy()
     order = np.argsort(h)
-    return h[order], (len(h) - np.arange(len(h), dtype=np.int64))[order]
+    return h[order], n[order]
 
 
-def prefix_pairs(docs: DataFrame, classes: DataFrame, joined: DataFrame, n: int) -> DataFrame:
+def prefix_pairs(docs: DataFrame, classes: DataFrame, joined: DataFrame) -> DataFrame:
     """(lo, hi): classes of different groups of ``joined`` (node, component) that may be similar."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(common_shingles(docs, n))
-    grouped = cut(classes.join(joined, classes["key"] == joined["node"], "left").select("key", "gone", "id", F.coalesce("component", "key").alias("group")), "near-groups")
+    shared = spark.sparkContext.broadcast(common_shingles(docs))
+    release(spark)
+    grouped = cut(classes.join(joined, classes["num"] == joined["node"], "left").select("num", "key", "gone", "id", F.nullif("component", "num").alias("group")), "near-groups")
     rows = docs.select("doc_id", "text").mapInArrow(_prefixes(shared), "doc_id long, key long, size long, first array<long>")
     rows = rows.select("key", "size", "first", F.col("doc_id").isNull().alias("gone"), F.coalesce("doc_id", F.lit(0)).alias("id"))
-    spread = rows.join(grouped, ["key", "gone", "id"]).select("key", "group", "size", F.posexplode("first").alias("place", "h"))
-    spread = spread.select("h", "key", "group", "size", F.col("place").cast("long").alias("place"))
+    spread = rows.join(grouped, ["key", "gone", "id"]).select("num", "group", "size", F.posexplode("first").alias("place", "h"))
+    spread = spread.select("h", "num", "group", (F.shiftleft("size", 32) + F.col("place")).alias("shape"))
     placed = spread.repartition(shuffle_width(spark), "h").sortWithinPartitions("h")
     return cut(placed.mapInArrow(_token_pairs, "lo long, hi long").distinct(), "near-prefix-pairs")
 
 
 def near_classes(docs: DataFrame) -> DataFrame:
     """key (of a set of shingles), gone and id (of the class's first document) and root (the same for linked classes)."""
-    keyed = cut(docs.select("doc_id", "text").mapInArrow(_keyed, "doc_id long, key long, fp long"), "near-keys")
+    keyed = cut(docs.select("doc_id", "text").mapInArrow(_keyed, "doc_id long, key long, fp long, bands array<long>"), "near-keys")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("gone"), F.coalesce("doc_id", F.lit(0)).alias("id"))).alias("x")
-    classes = cut(keyed.groupBy("key").agg(least, F.first("fp").alias("fp")).select("key", "x.gone", "x.id", "fp"), "near-classes")
-    first = verified(docs, classes, fingerprint_pairs(classes))
+    classes = keyed.groupBy("key").agg(least, F.first("fp").alias("fp"), F.first("bands").alias("bands"))
+    classes = cut(classes.select(F.monotonically_increasing_id().alias("num"), "key", "x.gone", "x.id", "fp", "bands"), "near-classes")
+    first = verified(docs, classes, first_pairs(classes))
+    release(docs.sparkSession)
     joined = connected_components(first, "lo", "hi")
-    second = verified(docs, classes, prefix_pairs(docs, classes, joined, keyed.count()))
+    candidates = prefix_pairs(docs, classes, joined)
+    release(docs.sparkSession)
+    second = verified(docs, classes, candidates)
     linked = connected_components(first.union(second), "lo", "hi")
-    return classes.join(linked, classes["key"] == linked["node"], "left").select("key", "gone", "id", F.coalesce("component", "key").alias("root"))
+    return classes.join(linked, classes["num"] == linked["node"], "left").select("key", "gone", "id", F.coalesce("component", "num").alias("root"))
 
 
 def _with_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,7 +290,9 @@ def keep_one_of_near(docs: DataFrame) -> DataFrame:
     Rows with a null id are last in that order; of rows with equal id and key one stays; texts without a word are one
     class. Columns and their order are kept.
     """
-    chosen = near_classes(docs).groupBy("root").agg(F.min(F.struct("gone", "id", "key")).alias("x"))
+    classes = near_classes(docs)
+    release(docs.sparkSession)
+    chosen = classes.groupBy("root").agg(F.min(F.struct("gone", "id", "key")).alias("x"))
     chosen = cut(chosen.select(F.col("x.gone").alias("k_gone"), F.col("x.id").alias("k_id"), F.col("x.key").alias("k_key")), "near-kept")
     schema = T.StructType([*docs.schema.fields, T.StructField(KEY, T.LongType())])
     marked = docs.mapInArrow(_with_key, schema).withColumn("__gone", F.col("doc_id").isNull()).withColumn("__id", F.coalesce("doc_id", F.lit(0).cast("long")))

@@ -49,11 +49,11 @@ def planted():
     return list(enumerate(texts))
 
 
-# Without fingerprints nothing is joined beforehand, so the prefixes alone must find all; with them, most is joined.
+# Without the first step nothing is joined beforehand, so the prefixes alone must find all; with them, most is joined.
 @pytest.mark.parametrize("prints", [True, False])
 def test_kept_documents_equal_all_pairs(spark, planted, monkeypatch, prints):
     if not prints:
-        monkeypatch.setattr(near_copies, "fingerprint_pairs", lambda classes: spark.createDataFrame([], "lo long, hi long"))
+        monkeypatch.setattr(near_copies, "first_pairs", lambda classes: spark.createDataFrame([], "lo long, hi long"))
     docs = spark.createDataFrame(planted, "doc_id long, text string")
     assert {r.doc_id for r in near_copies.keep_one_of_near(docs).collect()} == kept_by_all_pairs(planted)
 
