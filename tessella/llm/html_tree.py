@@ -34,14 +34,14 @@ UNSEEN = frozenset("script style noscript template head title iframe textarea se
 RAW = frozenset("script style".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var "
-    "audio canvas map object picture video "
+    "audio canvas map object optgroup option picture video "
     "math annotation mfrac mi mn mo mover mpadded mphantom mroot mrow ms msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics "
     "svg circle defs desc ellipse g line path polygon polyline rect text textpath tspan use".split()
 )
 #: A start tag closes open elements of these tags, up to the nearest of the second list.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
-    "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}),
+    "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
 }
 
 #: What follows the ``<`` of a tag: the slash of an end tag, the name, and the attributes up to ``>``, which may be quoted.
