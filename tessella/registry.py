@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import curation, dedup, filters, formats, graph_walks, graphs, joins, rollups, search, splits, storage, streams, texts, upkeep, windows  # noqa: F401  they register their plans
+from .plans import curation, dedup, exchange, filters, formats, graph_walks, graphs, joins, rollups, search, splits, storage, streams, texts, upkeep, windows  # noqa: F401  they register their plans
 from .plans.base import ORACLES, PLANS
 
 

@@ -56,3 +56,39 @@ def patch_lines(patches: DataFrame, column: str = "patch") -> DataFrame:
     body = F.filter(F.slice(F.split("h", "\n"), 2, 1_000_000), lambda x: x.rlike("^[+ ]"))  # removed lines take no number
     numbered = hunks.select("path", start.alias("start"), F.posexplode(body).alias("k", "x"))
     return numbered.where("x LIKE '+%'").select("path", (F.col("start") + F.col("k")).alias("line"), F.substring("x", 2, 1_000_000).alias("text"))
+
+
+#: What of a Cobertura report is read.
+_COBERTURA = "`_lines-valid` LONG, `_lines-covered` LONG, packages STRUCT<package: ARRAY<STRUCT<classes: STRUCT<class: ARRAY<STRUCT<_filename: STRING, lines: STRUCT<line: ARRAY<STRUCT<_number: INT, _hits: LONG>>>>>>>>>"
+
+
+def read_cobertura(reports: DataFrame, column: str = "xml") -> tuple[DataFrame, DataFrame]:
+    """(path, line, hits) with the hits of all classes of a file added up, and (valid, covered) as each report declares them."""
+    x = reports.select(F.from_xml(column, _COBERTURA).alias("x"))
+    classes = x.select(F.explode("x.packages.package").alias("p")).select(F.explode("p.classes.class").alias("c"))
+    lines = classes.select(F.col("c._filename").alias("path"), F.explode("c.lines.line").alias("l")).where("path IS NOT NULL AND l._number IS NOT NULL")
+    totals = x.select(F.col("x.`_lines-valid`").alias("valid"), F.col("x.`_lines-covered`").alias("covered"))
+    return lines.groupBy("path", F.col("l._number").alias("line")).agg(F.sum("l._hits").alias("hits")), totals
+
+
+def bitmap_lines(bitmaps: DataFrame, column: str = "bitmap") -> DataFrame:
+    """The rows of ``bitmaps`` for each set bit, with its number as ``line``: bit k of byte b is line 8 b + k. Null and empty ones have none."""
+    bytes_ = bitmaps.select("*", F.posexplode(F.regexp_extract_all(F.hex(column), F.lit(".."), 0)).alias("_at", "_byte")).drop(column)
+    on = F.filter(F.sequence(F.lit(0), F.lit(7)), lambda k: F.pmod(F.floor(F.conv("_byte", 16, 10).cast("int") / F.pow(F.lit(2), k)), F.lit(2)) == 1)
+    return bytes_.withColumn("_bit", F.explode(on)).withColumn("line", F.col("_at") * 8 + F.col("_bit")).drop("_at", "_byte", "_bit")
+
+
+def read_bookmarks(documents: DataFrame, column: str = "html") -> DataFrame:
+    """(url, title, tags, added) of the links of an exported bookmark page; ``added`` is in seconds, null where it isn't a number."""
+    links = documents.select(F.explode(F.regexp_extract_all(column, F.lit(r"(?is)<a\s[^>]*>.*?</a>"), 0)).alias("a"))
+    attribute = lambda name: F.regexp_extract("a", rf'(?i)^<a\s[^>]*?\b{name}="([^"]*)"', 1)
+    plain = lambda c: F.replace(F.replace(F.replace(F.replace(c, F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">")), F.lit("&quot;"), F.lit('"')), F.lit("&amp;"), F.lit("&"))
+    tags = F.filter(F.transform(F.split(plain(attribute("tags")), ","), lambda x: F.trim(x)), lambda x: x != "")
+    title = plain(F.trim(F.regexp_replace(F.regexp_extract("a", r"(?is)^<a\s[^>]*>(.*)</a>$", 1), "<[^>]*>", "")))
+    return links.select(plain(attribute("href")).alias("url"), title.alias("title"), tags.alias("tags"), attribute("add_date").try_cast("long").alias("added")).where("url <> ''")
+
+
+def unpack_ids(packed: DataFrame, column: str = "bin") -> DataFrame:
+    """``packed`` with ``ids``, the unsigned 16-bit little-endian numbers of its blob; a null blob has null."""
+    words = F.regexp_extract_all(F.hex(column), F.lit(".{4}"), 0)  # one pass over the blob
+    return packed.withColumn("ids", F.transform(words, lambda w: F.conv(F.concat(F.substring(w, 3, 2), F.substring(w, 1, 2)), 16, 10).cast("int")))
