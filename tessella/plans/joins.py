@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
+from ..operators.siblings import nearest_siblings
 from ..operators.timing import asof_join, bucketed_interval_join
 from .base import Tables, plan
 
@@ -203,13 +204,7 @@ def neighbours(t: Tables):
   FROM part a JOIN part b ON (a.p_brand = b.p_brand OR a.p_type = b.p_type) AND a.p_partkey <> b.p_partkey)
   SELECT p_partkey, sibling, scope FROM p QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY scope, sibling) <= 5""")
 def siblings(t: Tables):
-    p = t.part.select("p_partkey", "p_brand", "p_type")
-    a = p.select(F.col("p_partkey").alias("k"), F.col("p_brand").alias("b"), F.col("p_type").alias("y"))
-    brand = a.join(p, F.col("b") == F.col("p_brand")).select("k", F.col("p_partkey").alias("sibling"), F.when(F.col("y") == F.col("p_type"), 1).otherwise(2).alias("scope"))
-    kind = a.join(p, F.col("y") == F.col("p_type")).where("b <> p_brand").select("k", F.col("p_partkey"), F.lit(3))
-    order = Window.partitionBy("k").orderBy("scope", "sibling")
-    ranked = brand.union(kind).where("k <> sibling").withColumn("rn", F.row_number().over(order)).where("rn <= 5")
-    return ranked.select(F.col("k").alias("p_partkey"), "sibling", "scope")
+    return nearest_siblings(t.part, "p_partkey", "p_brand", "p_type", 5).select("p_partkey", "sibling", "scope")
 
 
 @plan("jn24_version_ranges", """SELECT l_orderkey, l_linenumber FROM lineitem JOIN (SELECT p_partkey, p_size AS introduced, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE p_size + 20 END AS ended, p_partkey % 2 = 0 AS inclusive FROM part)
