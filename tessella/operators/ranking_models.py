@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.columns import dot
+from .nearest import nearest_rows
 
 
 def postings(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -31,13 +31,8 @@ def bm25(docs: DataFrame, key: str, queries: DataFrame, k1: float = 1.2, b: floa
 def cosine_top(vectors: DataFrame, queries: DataFrame, top: int, dims: int | None = None) -> DataFrame:
     """(query_id, vec_id, score, rank): the ``top`` nearest by cosine of every query (query_id, q), itself left out.
 
-    The queries are a stated set; they meet all rows in a nested loop over the smaller side, and each task keeps only
-    what its rows add before the rows are ranked.
+    The queries are a stated set; they meet all rows in blocks, by matrix products.
     """
-    cutoff = (lambda c: F.slice(c, 1, dims)) if dims else (lambda c: c)
-    unit = lambda c: F.transform(cutoff(c), lambda x: x.cast("double"))
-    v, q = vectors.select("vec_id", unit("embedding").alias("v")), queries.select("query_id", unit("q").alias("q"))
-    score = dot(F.col("v"), F.col("q")) / (F.sqrt(dot(F.col("v"), F.col("v"))) * F.sqrt(dot(F.col("q"), F.col("q"))))
-    scored = v.join(q, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(score, 6).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= top)
+    cutoff = (lambda c: F.slice(c, 1, dims)) if dims else (lambda c: F.col(c))
+    v, q = vectors.select("vec_id", cutoff("embedding").alias("v")), queries.select("query_id", cutoff("q").alias("q"))
+    return nearest_rows(v, q, top, "cosine", 6)
