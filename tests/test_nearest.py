@@ -1,8 +1,10 @@
 """Nearest rows against the SQL on tables with copies, shared ids, zero, null and non-finite vectors."""
 
 import random
+import time
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
@@ -10,7 +12,7 @@ import pytest
 from tessella import registry
 from tessella.operators import nearest
 
-NAMES = ["dd21_dense_top", "dd27_truncated"]
+NAMES = ["dd21_dense_top", "dd22_exact_l2", "dd27_truncated"]
 
 
 def table(path, rows):
@@ -56,3 +58,11 @@ def test_odd_vectors_rank_as_in_the_sql(spark, tmp_path, name):
     same(spark, tmp_path, name)
     table(tmp_path, [(k, odd.get(k, [1.0] * 64)) for k in (0, 3, 5, 8, 40)])
     same(spark, tmp_path, name)
+
+
+def test_a_table_of_40_000_rows_is_a_matter_of_seconds(spark, tmp_path):
+    rows = np.random.default_rng(3).normal(size=(40_000, 64)).astype("float32")
+    table(tmp_path, list(enumerate(rows)))
+    began = time.time()
+    assert registry.queries()["dd22_exact_l2"](spark, str(tmp_path)).count() == 6_000
+    assert time.time() - began < 60
