@@ -17,12 +17,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import Memory, byte_slices, listed, parted, strings, tokenizer_path, worker_state
+from .common import Memory, byte_slices, listed, parted, ragged, strings, tokenizer_path, worker_state
 
 #: Words, and pieces between spaces that aren't one word, that one worker remembers, by generation.
 MEMORY = 160_000
+#: Spines of tokens that one worker remembers for each side, by generation.
+SPINES = 20_000
 #: Stands for the mark of a word's end inside the automaton; no byte maps to it.
 _END = "\n"
 #: The words of a piece, as the tokenizer's own pattern has them, for pieces of nothing but these characters.
@@ -30,8 +33,6 @@ _LATIN = re.compile(r"[!-~\xc0-\xd6\xd8-\xf6\xf8-\xff\u0152\u0153]+")
 _LATIN_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff\u0153]+|[0-9]|[^a-z0-9\xdf-\xf6\xf8-\xff\u0153]+")
 _SPACES = re.compile(r"[ \t\n\v\f\r]+")
 
-#: The ids of a piece as unsigned 32-bit integers, the same in decimal, and the tokens' names, both joined by spaces.
-Coded = tuple[bytes, str, str]
 DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -49,7 +50,8 @@ class PrefixBpe:
         import ahocorasick
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)  # its normalizer and pre-tokenizer part texts into words
+        library = Tokenizer.from_file(path)  # its normalizer and pre-tokenizer part texts into words; its model isn't kept
+        self.normalizer, self.pre_tokenizer = library.normalizer, library.pre_tokenizer
         with open(path, encoding="utf-8") as f:
             data = json.load(f)
         model = data["model"]
@@ -61,34 +63,37 @@ class PrefixBpe:
         self.ends = bool(suffix)
         self.symbols = dict(enumerate(byte_symbols()))
         self.pairs: dict[tuple[int, int], int] = {}
-        made: dict[int, tuple[int, int, int]] = {}
+        self.made: dict[int, tuple[int, int, int]] = {}
         for rank, merge in enumerate(model["merges"]):
             left, right = merge.split(" ") if isinstance(merge, str) else merge
             a, b, c = self.vocab[left], self.vocab[right], self.vocab[left + right]
             self.pairs[a, b] = rank
-            made.setdefault(c, (rank, a, b))
+            self.made.setdefault(c, (rank, a, b))
         # Spines: how the outermost part of a token grows, as (part, rank of the merge that takes it into the next).
-        self.right = {i: self._spine(made, i, 2) for i in self.vocab.values()}
-        self.left = {i: self._spine(made, i, 1) for i in self.vocab.values()}
+        # Those of the tokens that meet are remembered.
+        self.right = Memory(lambda x: self._spine(x, 2), SPINES)
+        self.left = Memory(lambda x: self._spine(x, 1), SPINES)
         self.fits: dict[int, bool] = {}
         self.automaton = ahocorasick.Automaton()
-        self.width = {}
         for token, i in self.vocab.items():
             ended = self.ends and token.endswith(suffix) and len(token) > len(suffix)
             text = token.removesuffix(suffix) + _END if ended else token
-            if i in made or len(text) - ended == 1:
+            if i in self.made or len(text) - ended == 1:
                 self.automaton.add_word(text, (len(text), i))
         self.automaton.make_automaton()
         self.memory = memory
-        self.words = Memory(lambda x: self._coded(self.encode_word(x)), memory)
+        self.words = Memory(lambda x: array("I", self.encode_word(x)).tobytes(), memory)
         self.pieces = Memory(self._piece, memory)
+        every = range(max(self.names, default=-1) + 1)
+        #: By id: its decimal digits and the token's name.
+        self.digits = pa.array(map(str, every), pa.large_string())
+        self.tokens = pa.array(map(self.names.get, every), pa.large_string())
 
-    @staticmethod
-    def _spine(made: dict[int, tuple[int, int, int]], token: int, side: int) -> list[tuple[int, float]]:
-        out, taken = [(token, float("inf"))], made.get(token)
+    def _spine(self, token: int, side: int) -> list[tuple[int, float]]:
+        out, taken = [(token, float("inf"))], self.made.get(token)
         while taken:
             out.append((taken[side], taken[0]))
-            taken = made.get(taken[side])
+            taken = self.made.get(taken[side])
         return out[::-1]
 
     def compatible(self, a: int, b: int) -> bool:
@@ -149,53 +154,46 @@ class PrefixBpe:
             at = back[at]
         return out[::-1]
 
-    def _coded(self, ids: list[int]) -> Coded:
-        return array("I", ids).tobytes(), " ".join(map(str, ids)), " ".join([self.names[i] for i in ids])
-
-    @staticmethod
-    def _joined(parts: list[Coded]) -> Coded:
-        parts = [x for x in parts if x[0]]
-        return b"".join([x[0] for x in parts]), " ".join([x[1] for x in parts]), " ".join([x[2] for x in parts])
-
-    def _piece(self, piece: str) -> Coded:
-        """A piece without ASCII white space: its words, one after another."""
+    def _piece(self, piece: str) -> bytes:
+        """Ids of a piece without ASCII white space: its words, one after another."""
         if piece.isascii() and piece.isprintable():
             found = _LATIN_WORDS.findall(piece.lower())
         elif _LATIN.fullmatch(piece):
             found = [x.encode().decode("latin-1").translate(self.symbols) for x in _LATIN_WORDS.findall(piece.lower())]
         else:
-            found = [x for x, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(piece))]
-        return self.words[found[0]] if len(found) == 1 else self._joined([self.words[x] for x in found])
+            found = [x for x, _ in self.pre_tokenizer.pre_tokenize_str(self.normalizer.normalize_str(piece))]
+        return self.words[found[0]] if len(found) == 1 else b"".join([self.words[x] for x in found])
 
-    def _entry(self, piece: str) -> Coded:
+    def _entry(self, piece: str) -> bytes:
         if piece.isascii():
             low = piece.lower()
             if low.isalpha():
                 return self.words[low]
             stem = low.rstrip(".,;:!?|*$%&#")
             if stem.isalpha():
-                one, two = self.words[stem], self.words[low[len(stem) :]]
-                return one[0] + two[0], f"{one[1]} {two[1]}", f"{one[2]} {two[2]}"
+                return self.words[stem] + self.words[low[len(stem) :]]
         return self.pieces[piece]
 
-    def encode_all(self, texts: list[str]) -> tuple[list[Coded], np.ndarray, np.ndarray]:
-        """The distinct pieces of some whole texts, coded, the place of each piece that has a token among them, and where a
-        text's pieces start (one more entry than texts)."""
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of some whole texts, one after another, and where a text's ids start (one more entry than texts)."""
         odd = {k: x for k, x in enumerate(texts) if self.split is not None and self.split.search(x)}
         pieces, places, starts = parted(["" if k in odd else x for k, x in enumerate(texts)], white=True)
         entries = [self._entry(x) for x in listed(pieces)]
         places = places.copy()
         for k, x in odd.items():  # a text with special tokens is a piece of its own
-            parts = [self._coded([self.special[y]]) if y in self.special else self._entry(z) for y in self.split.split(x) for z in ([y] if y in self.special else _SPACES.split(y))]
             places[starts[k]] = len(entries)
-            entries.append(self._joined(parts))
-        full = np.fromiter((len(x[0]) > 0 for x in entries), bool, len(entries))[places]
-        return entries, places[full], np.append(0, np.cumsum(full))[starts]
+            entries.append(b"".join([array("I", [self.special[y]]).tobytes() if y in self.special else self._spaced(y) for y in self.split.split(x)]))
+        sizes = np.fromiter(map(len, entries), np.int64, len(entries)) // 4
+        n = sizes[places]
+        ids = np.frombuffer(b"".join(entries), "<u4")[np.repeat((np.cumsum(sizes) - sizes)[places], n) + ragged(n)]
+        return ids, np.append(0, np.cumsum(n))[starts]
+
+    def _spaced(self, text: str) -> bytes:
+        return b"".join([self._entry(x) for x in _SPACES.split(text)])
 
     def encode(self, text: str) -> list[str]:
         """Ids of a whole text in decimal."""
-        entries, places, _ = self.encode_all([text])
-        return [x for k in places.tolist() for x in entries[k][1].split(" ")]
+        return [*map(str, self.encode_all([text])[0].tolist())]
 
     def decode(self, ids: list[str]) -> str:
         """The tokens' names joined by a space, as for a file without a decoder."""
@@ -207,20 +205,18 @@ def codec(path: str) -> PrefixBpe:
     return worker_state(f"bpe {path}", lambda: PrefixBpe(path))
 
 
+def _spelt(names: pa.Array, ids: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """For each text the names of its ids, joined by a space."""
+    return pc.binary_join(pa.LargeListArray.from_arrays(pa.array(starts, pa.int64()), names.take(pa.array(ids))), pa.scalar(" ", pa.large_string()))
+
+
 def _digest(path: str):
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, sha = codec(path), hashlib.sha256
         for batch in byte_slices(batches, "text"):
-            entries, places, starts = coder.encode_all(strings(batch, "text"))
-            ids, names = [x[1] for x in entries], [x[2] for x in entries]
-            tokens = np.append(0, np.cumsum(np.fromiter((len(x[0]) // 4 for x in entries), np.int64, len(entries))[places]))[starts]
-            texts = [places[a:b].tolist() for a, b in zip(starts.tolist(), starts[1:].tolist(), strict=False)]
-            ids_sha = [sha(" ".join(map(ids.__getitem__, x)).encode()).hexdigest() for x in texts]
-            text_sha = [sha(" ".join(map(names.__getitem__, x)).encode()).hexdigest() for x in texts]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), pa.array(np.diff(tokens), pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+            ids, starts = coder.encode_all(strings(batch, "text"))
+            hashes = [pa.array([sha(x).hexdigest() for x in _spelt(names, ids, starts).cast(pa.large_binary()).to_pylist()], pa.string()) for names in (coder.digits, coder.tokens)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(np.diff(starts), pa.int64()), *hashes], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return digest
 
@@ -229,14 +225,9 @@ def _codes(path: str):
     def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(path)
         for batch in byte_slices(batches, "text"):
-            entries, places, starts = coder.encode_all(strings(batch, "text"))
-            ids, names = [x[0] for x in entries], [x[2] for x in entries]
-            texts = [places[a:b].tolist() for a, b in zip(starts.tolist(), starts[1:].tolist(), strict=False)]
-            found = [b"".join(map(ids.__getitem__, x)) for x in texts]
-            ends = np.append(0, np.cumsum([len(x) // 4 for x in found])).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), "<i4")))
-            decoded = pa.array([" ".join(map(names.__getitem__, x)) for x in texts], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), lists, decoded], names=["doc_id", "ids", "decoded"])
+            ids, starts = coder.encode_all(strings(batch, "text"))
+            lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(ids.view("<i4")))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), lists, _spelt(coder.tokens, ids, starts).cast(pa.string())], names=["doc_id", "ids", "decoded"])
 
     return codes
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
+from contextlib import suppress
 from itertools import accumulate
 from typing import TypeVar
 
@@ -97,11 +100,22 @@ def worker_state(key: str, make: Callable[[], T]) -> T:
     """What a worker keeps from task to task (a codec, a model, what they remember). Only the latest is kept, so workers
     that serve one operator after another don't gather the memories of all."""
     if key not in _STATE:
-        _STATE.clear()
+        if _STATE:
+            _STATE.clear()
+            _give_back()
         _STATE[key] = make()
     return _STATE[key]
 
 
+def _give_back() -> None:
+    """Hand memory that is free back to the system. A codec or a model points to itself through what it remembers, so it
+    only goes when cycles are collected, and the allocator keeps its pages until it is asked."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def no_state() -> None:
     """Let go of what the worker keeps: for operators that keep nothing."""
     worker_state("", lambda: None)
