@@ -14,6 +14,9 @@ COUNTS = np.array([1, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 BITS = np.array([0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 
 
+#: Words that are walked over at a time, as a power of two.
+LEAPS = 3
+
 _SHORT = np.frexp(np.arange(1 << 16))[1].astype(np.int8)
 
 
@@ -25,6 +28,23 @@ def _widths(ids: np.ndarray) -> np.ndarray:
     return np.where(high > 0, np.frexp(high)[1] + 32, np.frexp(low)[1]).astype(np.int8)
 
 
+def _starts(taken: np.ndarray) -> np.ndarray:
+    """The places from 0 on where each is ``taken`` of the one before further, up to the end. Only one in 2 ** LEAPS is
+    walked; those between follow by leaps of 2 ** k words, which are tabled for all places."""
+    n = len(taken)
+    leaps = [np.append(np.minimum(np.arange(n, dtype=np.int32) + taken, n), np.int32(n))]
+    for _ in range(LEAPS):
+        leaps.append(leaps[-1][leaps[-1]])
+    far, found, at = memoryview(leaps.pop()), [], 0
+    while at < n:
+        found.append(at)
+        at = far[at]
+    starts = np.array(found, np.int32)
+    for leap in leaps[::-1]:
+        starts = np.stack([starts, leap[starts]], axis=1).ravel()
+    return starts[starts < n]
+
+
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(words, exceptions), both of unsigned 64-bit integers. No ids give no words."""
     n = len(ids)
@@ -39,13 +59,8 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         half = max(k for k in widest if k < c)
         # two windows that overlap or touch cover the longer one
         widest[c] = np.maximum(widest[half][: n + 60 - c], widest[half][c - half :][: n + 60 - c])
-        np.copyto(best, np.int8(s), where=widest[c][:n] <= BITS[s])
-    taken = COUNTS.astype(np.uint8)[best].tobytes()
-    starts, at = [], 0
-    while at < n:
-        starts.append(at)
-        at += taken[at]
-    starts = np.array(starts)
+        np.copyto(best, np.int8(s), where=widest[c][:n] <= np.int8(BITS[s]))
+    starts = _starts(COUNTS.astype(np.int32)[best])
     chosen = best[starts]
     words = chosen.astype(np.uint64) << np.uint64(60)
     for s in np.unique(chosen):

@@ -49,6 +49,7 @@ _SPACE = re.compile(r" (?=\S)")
 #: digits, visible ASCII marks, space and line feed. Other texts are parted by the library.
 _LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u017f"
 _PLAIN = re.compile(rf"[\n\x20-\x7e{_LETTERS}]*+")
+_LETTERS_ONLY = re.compile(rf"[{_LETTERS}]++")
 _WORDS = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTERS}]+| ?[0-9]+| ?[^ \n0-9{_LETTERS}]+|[ \n]+(?![^ \n])|[ \n]+")
 
 
@@ -97,6 +98,8 @@ class PieceEncoder:
             return array("I", [x.id for x in self.tokenize((self.symbols[32] if space else "") + piece)]).tobytes()
         if not self.plain or not (piece.isascii() and piece.isprintable() or _PLAIN.fullmatch(piece)):
             return self._whole(space + piece)
+        if piece.isalpha() and _LETTERS_ONLY.fullmatch(piece):
+            return self._word(space + piece)
         words = _WORDS.findall(space + piece)
         if len(words) < 2:
             return self._word(words[0]) if words else b""
