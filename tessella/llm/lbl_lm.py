@@ -118,10 +118,19 @@ class Trainer:
         self.log_noise = np.log(NOISE * self.noise).astype(np.float32)
         self.sums = [np.full(x.shape, 0.1, np.float32) for x in (params.R, params.C, params.Q, params.b)]
 
-    def _step(self, x: np.ndarray, total: np.ndarray, rows: np.ndarray, grad: np.ndarray) -> None:
-        """Adagrad on some rows; rows that occur more than once add up."""
-        order = np.argsort(rows.astype(np.uint16 if len(x) < 1 << 16 else np.int64), kind="stable")  # of few bits: by radix
-        rows, first = np.unique(rows[order], return_index=True)
+    @staticmethod
+    def _groups(rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """An order of ``rows`` (below n) by number, where each number begins in it, and the numbers."""
+        rows = rows.astype(np.uint16 if n < 1 << 16 else np.int64)
+        order = np.argsort(rows, kind="stable")  # of few bits: by radix
+        rows = rows[order]
+        first = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
+        return order, first, rows[first].astype(np.intp)
+
+    @staticmethod
+    def _step(x: np.ndarray, total: np.ndarray, groups: tuple[np.ndarray, np.ndarray, np.ndarray], grad: np.ndarray) -> None:
+        """Adagrad on the rows of ``groups``; rows that occur more than once add up."""
+        order, first, rows = groups
         grad = np.add.reduceat(grad[order], first, axis=0)
         total[rows] += grad * grad
         x[rows] += RATE * grad / np.sqrt(total[rows])
@@ -136,23 +145,26 @@ class Trainer:
         bad = h @ qn.T + p.b[noise] - self.log_noise[noise]
         # Of the log-likelihood of telling words from noise; a mean over the batch would starve rare rows under Adagrad.
         g = 1 / (1 + np.exp(np.clip(good, -30, 30)))
-        gn = -1 / (1 + np.exp(np.clip(-bad, -30, 30)))
+        gn = np.negative(bad, out=bad)
+        np.exp(np.clip(gn, -30, 30, out=gn), out=gn)
+        np.divide(-1, np.add(gn, 1, out=gn), out=gn)
         dh = g[:, None] * q + gn @ qn
         dq, dqn = g[:, None] * h, gn.T @ h
         d1, d2 = dh @ p.C[0].T, dh @ p.C[1].T
         dC = np.stack([r1.T @ dh, r2.T @ dh]) / len(w)
-        self._step(p.Q, self.sums[2], np.concatenate([w, noise]), np.concatenate([dq, dqn / 8]))
-        self._step(p.b, self.sums[3], np.concatenate([w, noise]), np.concatenate([g, gn.sum(0) / 8]))
-        self._step(p.R, self.sums[0], np.concatenate([c1, c2]), np.concatenate([d1, d2]))
+        targets = self._groups(np.concatenate([w, noise]), len(p.Q))
+        self._step(p.Q, self.sums[2], targets, np.concatenate([dq, dqn / 8]))
+        self._step(p.b, self.sums[3], targets, np.concatenate([g, gn.sum(0) / 8]))
+        self._step(p.R, self.sums[0], self._groups(np.concatenate([c1, c2]), len(p.R)), np.concatenate([d1, d2]))
         self.sums[1] += dC * dC
         p.C += 0.1 * RATE * dC / np.sqrt(self.sums[1])
         self.seen += len(w)
 
     def run(self, triples: np.ndarray) -> None:
         """Over (first context, second context, word) rows, in a random order."""
-        triples = triples[self.rng.permutation(len(triples))]
+        columns = np.ascontiguousarray(triples.T)[:, self.rng.permutation(len(triples))]
         for at in range(0, len(triples), BATCH):
-            self.batch(*triples[at : at + BATCH].T)
+            self.batch(*columns[:, at : at + BATCH])
 
 
 def triples_of(classes: list[np.ndarray], start: int) -> np.ndarray:
@@ -200,7 +212,8 @@ class Model:
             # In a shared class a word has (c + 1) of the class's sum of (c + 1), and one share is for all that never occurred.
             self.log_shared = np.append(np.zeros(self.own), np.log10(self.shared_tokens + self.shared_types + 1.0))
             own = np.arange(self.own)
-            self.class_table = np.append(own, [self.own + shared_class(w) for w in self.words[self.own :]]).astype(np.int64)
+            # The last entry stands for the words outside, at -1, until they are classed.
+            self.class_table = np.concatenate([own, [self.own + shared_class(w) for w in self.words[self.own :]], [0]]).astype(np.int64)
             self.endings = Memory(shared_class, 100_000)
             self.log_all = float(np.log10(self.tokens + self.types + 1.0))
         return self
@@ -228,7 +241,7 @@ class Model:
 
     def classes_of(self, words: list[str], ids: np.ndarray) -> np.ndarray:
         """The class of every word of a text."""
-        found = np.append(self.class_table, 0)[ids]
+        found = self.class_table[ids]
         outside = np.flatnonzero(ids < 0)
         found[outside] = [self.own + self.endings[words[k][-ENDING:]] for k in outside.tolist()]
         return found
